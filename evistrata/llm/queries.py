@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evistrata.llm import budget, encoding, mixing, splitting, survivors, truncation
+from evistrata.llm import budget, encoding, mixing, names, neighbours, splitting, survivors, truncation
 from evistrata.llm.sql import SQL  # noqa: F401
 from evistrata.session import table
 
 
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    linked = names.linked_mentions(table(spark, base, "extractions"), table(spark, base, "canonical_entities"))
+    return linked.where("entity_id IS NOT NULL AND NOT is_exact").select("record_no", "rel_pos", "side", "entity_id")
+
+
+def p1_mentions(spark: SparkSession, base: str) -> DataFrame:
+    return names.linked_mentions(table(spark, base, "extractions"), table(spark, base, "canonical_entities"))
+
+
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return splitting.split_oversized(table(spark, base, "chunks")).select("chunk_id").where("chunk_id IS NOT NULL").distinct()
 
@@ -17,6 +26,18 @@ def p2_pieces(spark: SparkSession, base: str) -> DataFrame:
     return splitting.distinct_pieces(splitting.split_oversized(table(spark, base, "chunks")))
 
 
+def _vectors(spark: SparkSession, base: str) -> DataFrame:
+    return neighbours.evidence_vectors(table(spark, base, "evidence_spans"), table(spark, base, "risk_factors"))
+
+
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    return neighbours.close_pairs(neighbours.nearest(_vectors(spark, base), least=0.75))
+
+
+def p4_neighbours(spark: SparkSession, base: str) -> DataFrame:
+    return neighbours.similar_keys(neighbours.nearest(_vectors(spark, base), recall=0.9))
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return survivors.field_survivors(table(spark, base, "xbrl_facts"), table(spark, base, "concept_map")).select("group_id", "field_name", "fact_id")
 

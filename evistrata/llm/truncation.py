@@ -33,14 +33,18 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^<>]*?(/?)>")
 _VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "col", "area"}
 _END = ".!?。！？｡‼⁉‽۔।"
 _CLOSE = "\"'”’»›)]}）」』】》〉*_`"
-_LABEL = re.compile(r"^[A-Z][\w /&’'-]{0,30}: \S|^https?://\S+$|^/s/ \S|^Page \d+ of \d+$|^\W+$|^[(\[{].*[)\]}]$|^[“\"].*[”\"]$")
+_LABEL = re.compile(r"^([A-Z][\w /&’'-]{0,30}: )(.*)$")
+_LOOKS = re.compile(r"^https?://\S+$|^/s/ \S|^Page \d+ of \d+$|^\W+$|^[(\[{].*[)\]}]$|^[“\"].*[”\"]$")
+_NAME = re.compile(r"\b[^\W\d_a-z]\w+")
 _ITEM = re.compile(r"^(?:[-*•–‣·▪]|\(?[0-9a-z]{1,3}[.)])\s+\S")
 _BROKEN_NUMBER = re.compile(r"(?:[$€£¥]|(?<=\s))\d{1,3}[.,]$")
 
 
 def mask(line: str) -> str:
-    """A line with its numbers and capital codes made alike, as it is counted over the corpus."""
-    return re.sub(r"\b[A-Z]{2,}(?=-9)", "AA", re.sub(r"\d+", "9", line))
+    """A line with its numbers and capital codes (behind a label, names too) made alike, as it is counted over the corpus."""
+    line = re.sub(r"\b[A-Z]{2,}(?=-9)", "AA", re.sub(r"\d+", "9", line))
+    labelled = _LABEL.match(line)
+    return labelled[1] + _NAME.sub("X", labelled[2]) if labelled else line
 
 
 def ending(text: str) -> tuple[str, str]:
@@ -74,7 +78,7 @@ def ending(text: str) -> tuple[str, str]:
     if len(line) <= LINE and (len(line) < len(bare) or len(bare) <= LINE):
         fresh = line[:1] in "-*•–‣·▪([{“\"/" or line[:1].isupper() or line[:1].isdigit() or not line[:1].isalpha()
         if fresh or len(line) == len(bare):
-            return ("looks" if _LABEL.search(line) or _ITEM.search(line) else "line"), mask(line)
+            return ("looks" if _LOOKS.search(line) or _ITEM.search(line) else "line"), mask(line)
     return "cut", ""
 
 
