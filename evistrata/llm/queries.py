@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evistrata.llm import budget, encoding, mixing, names, neighbours, splitting, survivors, truncation
+from evistrata.llm import budget, encoding, mixing, names, near_duplicates, neighbours, splitting, survivors, truncation
 from evistrata.llm.sql import SQL  # noqa: F401
 from evistrata.session import table
 
@@ -38,6 +38,19 @@ def p4_neighbours(spark: SparkSession, base: str) -> DataFrame:
     return neighbours.similar_keys(neighbours.nearest(_vectors(spark, base), recall=0.9))
 
 
+def _near_texts(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    texts = near_duplicates.evidence_texts(table(spark, base, "chunks"), table(spark, base, "risk_factors"))
+    return near_duplicates.near_duplicates(texts, words=3, threshold=0.6)
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    return near_duplicates.close_pairs(*_near_texts(spark, base))
+
+
+def p5_groups(spark: SparkSession, base: str) -> DataFrame:
+    return near_duplicates.duplicate_groups(*_near_texts(spark, base))
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return survivors.field_survivors(table(spark, base, "xbrl_facts"), table(spark, base, "concept_map")).select("group_id", "field_name", "fact_id")
 
