@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+def _struct(text: str) -> str:
+    """Schemas are kept as DDL, which needs no session; ``fields`` parses it."""
+    return text
+
+
+def fields(schema: str) -> T.StructType:
+    return T.StructType.fromDDL(schema)
 
 
 LAKE = {
@@ -65,16 +70,16 @@ SERVICE = {
 }
 
 
-def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+def empty(spark: SparkSession, schema: str) -> DataFrame:
     """No rows, all columns: what every operator gives for an empty input."""
     return spark.createDataFrame([], schema)
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+def conform(df: DataFrame, schema: str) -> DataFrame:
     """The columns of ``schema`` in its order and types; missing ones are null, others are dropped."""
     from pyspark.sql import functions as F
 
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields(schema)])
 
 
 def key_violations(df: DataFrame, *key: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from evistrata import schemas
 
 
-def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_parquet(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
@@ -24,7 +24,7 @@ def write_if_absent(df: DataFrame, path: str) -> None:
     df.write.mode("ignore").parquet(path)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object a line; blank lines are skipped, missing fields are null."""
     lines = spark.read.text(path).where(F.trim("value") != "")
     return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
@@ -39,11 +39,8 @@ def write_json_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-_FACT = T.StructType.fromDDL("start string, end string, val double, accn string, fy int, fp string, form string, filed string, frame string")
-_CONCEPT = T.StructType([T.StructField("label", T.StringType()), T.StructField("units", T.MapType(T.StringType(), T.ArrayType(_FACT)))])
-_FACTS = T.StructType(
-    [T.StructField("cik", T.LongType()), T.StructField("facts", T.MapType(T.StringType(), T.MapType(T.StringType(), _CONCEPT)))]
-)
+_FACT = "struct<start:string,end:string,val:double,accn:string,fy:int,fp:string,form:string,filed:string,frame:string>"
+_FACTS = f"cik long, facts map<string,map<string,struct<label:string,units:map<string,array<{_FACT}>>>>>"
 
 
 def flatten_facts(documents: DataFrame, value: str = "value", taxonomies: Sequence[str] = ("us-gaap", "ifrs-full")) -> DataFrame:
@@ -72,15 +69,15 @@ def nest_facts(facts: DataFrame) -> DataFrame:
     return whole.select("cik", F.to_json(F.struct("cik", "facts")).alias("value"))
 
 
-def read_results(spark: SparkSession, path: str, schema: T.StructType = schemas.LAKE["rules"]) -> DataFrame:
+def read_results(spark: SparkSession, path: str, schema: str = schemas.LAKE["rules"]) -> DataFrame:
     """Documents of the form ``{"results": [...]}``, one row per result."""
-    whole = T.StructType([T.StructField("results", T.ArrayType(schema))])
-    return spark.read.schema(whole).json(path, multiLine=True).select(F.explode("results").alias("r")).select("r.*")
+    row = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in schemas.fields(schema))
+    return spark.read.schema(f"results array<struct<{row}>>").json(path, multiLine=True).select(F.explode("results").alias("r")).select("r.*")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """A JSON map from ticker to its filings as one row per filing."""
-    kind = T.MapType(T.StringType(), T.ArrayType(schemas.LAKE["manifest"]))
+    kind = T.MapType(T.StringType(), T.ArrayType(schemas.fields(schemas.LAKE["manifest"])))
     parsed = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("key", "rows"))
     rows = parsed.select("key", F.explode("rows").alias("r")).select("key", "r.*")
     return rows.withColumn("ticker", F.coalesce("ticker", "key")).drop("key")
@@ -88,7 +85,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
     """The manifest as a JSON map, one line per ticker, newest filings first."""
-    row = F.struct(*[f.name for f in schemas.LAKE["manifest"]])
+    row = F.struct(*[f.name for f in schemas.fields(schemas.LAKE["manifest"])])
     grouped = manifest.groupBy("ticker").agg(F.reverse(F.array_sort(F.collect_list(F.struct("filing_date", "accession_no", row.alias("row"))))).alias("rows"))
     entries = grouped.select(F.to_json(F.map_from_arrays(F.array("ticker"), F.array(F.transform("rows", lambda r: r["row"])))).alias("value"))
     entries.coalesce(1).write.mode("overwrite").text(path)
