@@ -26,7 +26,7 @@ SAMPLE, CALIBRATION = 65_536, 1_024
 #: Vectors a leaf is meant to hold, children of an inner node, and vectors of a leaf per task.
 LEAF, BRANCH, BLOCK = 2_000, 8, 4_096
 #: Share of true neighbours that the visited leaves must hold, and the widest search.
-RECALL, WIDEST = 0.99, 64
+RECALL, WIDEST = 0.997, 64
 
 
 @dataclass
@@ -207,6 +207,9 @@ def nearest(
 
     placed = distinct.mapInArrow(place, "leaf int, block int, asks boolean, id long, v binary")
     met = placed.groupBy("leaf", "block").applyInArrow(compare, "a long, b long, similarity double")
+    # What a vector finds is found by the other too; a pair is lost only if neither asked where the other is.
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    met = met.select(ways.alias("w"), "similarity").groupBy("w.a", "w.b").agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
     edges = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return Neighbours(edges, members, visited, reached, tree.leaves)
@@ -245,9 +248,12 @@ def _calibrate(distinct, queries, query_ids, tree, shipped, dims, k, least, targ
         for batch in batches:
             ids, v = batch.column(0).to_numpy(), _matrix(batch.column(1), dims)
             a, b, s = _pairs(q, qids, ids, v, k, least)
-            home = tree.visits(v, 1)[:, 0][b]
-            hit = order[a] == home[:, None]
-            place = np.where(hit.any(1), hit.argmax(1), WIDEST).astype(np.int32)
+            if not len(b):
+                continue
+            # The pair is met if either one asks in the leaf that holds the other.
+            near, where = np.unique(b, return_inverse=True)
+            back = tree.visits(v[near], WIDEST)
+            place = np.minimum(_place(order[a], back[where, 0]), _place(back[where], order[a][:, 0]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(s.astype(np.float64)), pa.array(place)], ["q", "s", "place"])
 
     near = distinct.mapInArrow(run, "q long, s double, place int")
@@ -264,6 +270,11 @@ def _calibrate(distinct, queries, query_ids, tree, shipped, dims, k, least, targ
     return min(WIDEST, tree.leaves), met / total
 
 
+def _place(order: np.ndarray, home: np.ndarray) -> np.ndarray:
+    hit = order == home[:, None]
+    return np.where(hit.any(1), hit.argmax(1), WIDEST).astype(np.int32)
+
+
 def _pairs(q, qids, ids, v, k, least):
     similar = q @ v.T
     similar[qids[:, None] == ids[None, :]] = -2
