@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evistrata.plans import snapshots
+from evistrata.plans import lake, snapshots
 
-MODULES = (snapshots,)
+MODULES = (lake, snapshots)
 
 
 def queries() -> dict:
