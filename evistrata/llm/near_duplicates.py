@@ -8,7 +8,7 @@ population counts of their sets differ beyond the radius that the threshold leav
 fingerprints' radius is checked on the whole texts.
 
 Of two sets of Jaccard index J a band of R minhashes agrees with chance J^R. With 32 bands of 3, a pair
-at 0.6 is missed with chance 4e-4, at 0.65 with 3e-5, at 0.7 with 2e-6; a fingerprint of 128 bits is over
+at 0.6 is missed with chance 4e-4, at 0.65 with 3e-5, at 0.7 with 2e-6; a fingerprint of 192 bits is over
 the radius with chance below 1e-6 at 0.6.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from evistrata.session import materialize
 
-BANDS, ROWS, BITS = 32, 3, 128
+BANDS, ROWS, BITS = 32, 3, 192
 #: Standard deviations that the fingerprint radius lies above the mean distance at the threshold.
 SAFETY = 5.0
 #: Classes of a tile; larger bands are cut into tiles that are compared by tasks of their own.
@@ -32,6 +32,9 @@ TILE = 1_024
 SPELLED_OUT = 50
 
 _U = np.uint64
+#: Columns of a fingerprint, 64 bits each.
+PRINT = [f"f{i}" for i in range(BITS // 64)]
+_PRINT = ", ".join(f"{f} long" for f in PRINT)
 
 
 @functools.cache
@@ -91,7 +94,7 @@ def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.nd
 
 
 def signatures(shingles: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each non-empty set: a hash of the set, its fingerprint as two words, and its band hashes."""
+    """Of each non-empty set: a hash of the set, its fingerprint as 64-bit words, and its band hashes."""
     full = np.flatnonzero(sizes)
     if not len(full):
         return np.zeros(0, _U), np.zeros((0, BITS // 64), _U), np.zeros((0, BANDS), _U)
@@ -139,13 +142,13 @@ def tile_pairs(n_a, fp_a, n_b, fp_b, threshold: float, same: bool) -> tuple[np.n
     return np.concatenate(left), np.concatenate(right)
 
 
-_BAND = pa.schema([("band", pa.int64()), ("n", pa.int32()), ("id", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64())])
-_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("band", pa.int64()), ("tile", pa.int32()), ("n", pa.int32()), ("f0", pa.int64()), ("f1", pa.int64())])
+_BAND = pa.schema([("band", pa.int64()), ("n", pa.int32()), ("id", pa.int64()), *((f, pa.int64()) for f in PRINT)])
+_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("band", pa.int64()), ("tile", pa.int32()), ("n", pa.int32()), *((f, pa.int64()) for f in PRINT)])
 
 
 def _arrays(batch) -> tuple[np.ndarray, ...]:
-    band, n, ids, f0, f1 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-    return band, n, ids, np.stack([f0.view(_U), f1.view(_U)], 1)
+    band, n, ids, *prints = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+    return band, n, ids, np.stack([f.view(_U) for f in prints], 1)
 
 
 def _pairs_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -180,7 +183,7 @@ def _meet(threshold: float):
         def deal(band, n, ids, fp, start: int) -> pa.RecordBatch:
             tile = ((start + np.arange(len(band))) // TILE).astype(np.int32)
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(band), pa.array(tile), pa.array(n, pa.int32()), pa.array(fp[:, 0].view(np.int64)), pa.array(fp[:, 1].view(np.int64))], schema=_MET
+                [pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(band), pa.array(tile), pa.array(n, pa.int32()), *(pa.array(f.copy().view(np.int64)) for f in fp.T)], schema=_MET
             )
 
         def flush(parts, final: bool):
@@ -261,23 +264,23 @@ def near_duplicates(texts: DataFrame, *, words: int = 5, threshold: float = 0.8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(full), part.column(1).take(full), pa.array(whole.view(np.int64)), pa.array(sizes[sizes > 0].astype(np.int32)),
-                        pa.array(prints[:, 0].copy().view(np.int64)), pa.array(prints[:, 1].copy().view(np.int64)),
+                        *(pa.array(f.copy().view(np.int64)) for f in prints.T),
                         pa.ListArray.from_arrays(offsets, pa.array(bands.ravel().view(np.int64))),
                     ],
-                    ["kind", "key", "sethash", "n", "f0", "f1", "bands"],
+                    ["kind", "key", "sethash", "n", *PRINT, "bands"],
                 )
 
-    signed = rows.mapInArrow(sign, "kind string, key string, sethash long, n int, f0 long, f1 long, bands array<long>")
+    signed = rows.mapInArrow(sign, f"kind string, key string, sethash long, n int, {_PRINT}, bands array<long>")
     signed = signed.withColumn("id", F.xxhash64("kind", "sethash", "n"))
-    signed = materialize(signed.select("kind", "key", "id", "n", "f0", "f1", "bands"))
+    signed = materialize(signed.select("kind", "key", "id", "n", *PRINT, "bands"))
     classes = signed.groupBy("kind", "id").agg(F.min("key").alias("representative"))
     members = signed.select("kind", "key", "id").distinct()
     # Equal sets have equal bands, so one row of each goes on; copies collapse in each task before the shuffle.
     single = signed.dropDuplicates(["id"])
     salted = single.select(
-        F.explode(F.transform("bands", lambda b: F.xxhash64("kind", b))).alias("band"), "n", "id", "f0", "f1"
+        F.explode(F.transform("bands", lambda b: F.xxhash64("kind", b))).alias("band"), "n", "id", *PRINT
     )
-    met = salted.repartition("band").sortWithinPartitions("band", "n").mapInArrow(_meet(threshold), "a long, b long, band long, tile int, n int, f0 long, f1 long")
+    met = salted.repartition("band").sortWithinPartitions("band", "n").mapInArrow(_meet(threshold), f"a long, b long, band long, tile int, n int, {_PRINT}")
     met = materialize(met)
     candidates = met.where("band IS NULL").select("a", "b").union(_tiles(met.where("band IS NOT NULL"), threshold)).distinct()
 
@@ -300,13 +303,13 @@ def _tiles(dealt: DataFrame, threshold: float) -> DataFrame:
     met = ends.join(other, "band").where("tile <= tile_b").where((F.col("most") >= threshold * F.col("least_b")) & (F.col("most_b") >= threshold * F.col("least")))
     sides = met.select("band", F.explode(F.array(F.struct(F.col("tile").alias("tile"), F.lit(0).alias("side")), F.struct(F.col("tile_b").alias("tile"), F.lit(1).alias("side")))).alias("s"), F.col("tile").alias("ta"), F.col("tile_b").alias("tb"))
     sides = sides.select("band", "ta", "tb", "s.tile", "s.side").distinct()
-    rows = dealt.withColumnRenamed("a", "id").join(sides, ["band", "tile"]).select("band", "ta", "tb", "side", "n", "id", "f0", "f1")
+    rows = dealt.withColumnRenamed("a", "id").join(sides, ["band", "tile"]).select("band", "ta", "tb", "side", "n", "id", *PRINT)
 
     def compare(group: pa.Table) -> pa.Table:
         side = group["side"].to_numpy()
         same = group["ta"][0].as_py() == group["tb"][0].as_py()
         n, ids = group["n"].to_numpy(), group["id"].to_numpy()
-        fp = np.stack([group["f0"].to_numpy().view(_U), group["f1"].to_numpy().view(_U)], 1)
+        fp = np.stack([group[f].to_numpy().view(_U) for f in PRINT], 1)
         parts = []
         for s in (0, 0 if same else 1):
             mine = np.flatnonzero(side == s)
