@@ -24,9 +24,11 @@ from evistrata.session import materialize
 #: Bounds of what the driver ever holds: vectors to fit the tree on, and queries to calibrate with.
 SAMPLE, CALIBRATION = 65_536, 1_024
 #: Vectors a leaf is meant to hold, children of an inner node, and vectors of a leaf per task.
-LEAF, BRANCH, BLOCK = 2_000, 8, 4_096
+LEAF, BRANCH, BLOCK = 3_000, 8, 4_096
 #: Share of true neighbours that the visited leaves must hold, and the widest search.
 RECALL, WIDEST = 0.997, 64
+#: Leaves that a traversal opens before it settles on the best of them.
+LOOKED, WIDER = 16, 2
 
 
 @dataclass
@@ -39,29 +41,33 @@ class Tree:
     leaves: int = 0
 
     def visits(self, vectors: np.ndarray, most: int) -> np.ndarray:
-        """The first ``most`` leaves of each vector's best-bin-first traversal (-1 where there are fewer)."""
+        """The ``most`` best leaves of each vector by best-bin-first traversal (-1 where there are fewer).
+
+        The traversal opens WIDER times as many leaves, at least LOOKED of them; of those the ones whose
+        centres are most similar are kept, best first.
+        """
         most = min(most, self.leaves)
         if self.leaves == 1:
             return np.zeros((len(vectors), 1), np.int32)
-        found = np.full((len(vectors), most), -1, np.int32)
+        opened = min(self.leaves, max(LOOKED, WIDER * most))
+        nodes = np.zeros((len(vectors), opened), np.int32)
         similar = vectors @ self.centres.T
-        children, leaf = self.children, self.leaf
+        children = self.children
         for i, row in enumerate(-similar):
             near = row.tolist()
             queue = [(near[c], c) for c in children[0]]
             heapq.heapify(queue)
             n = 0
-            while queue:
+            while n < opened:
                 node = heapq.heappop(queue)[1]
                 if children[node]:
                     for c in children[node]:
                         heapq.heappush(queue, (near[c], c))
                 else:
-                    found[i, n] = leaf[node]
+                    nodes[i, n] = node
                     n += 1
-                    if n == most:
-                        break
-        return found
+        order = np.argsort(-np.take_along_axis(similar, nodes, 1), axis=1, kind="stable")[:, :most]
+        return self.leaf[np.take_along_axis(nodes, order, 1)]
 
 
 def _centres(points: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +162,7 @@ def nearest(
     spark = vectors.sparkSession
     rows = distinct.count()
     # A hash of the id orders the sample, so it is the same on every run; its size is bounded whatever rows is.
-    size = int(min(SAMPLE, max(2_000, 64 * rows / leaf)))
+    size = int(min(SAMPLE, max(2_000, 256 * rows / leaf)))
     drawn = distinct.orderBy(F.xxhash64("id", F.lit("sample"))).limit(size).toArrow() if rows else None
     sample = _matrix(drawn["v"].combine_chunks(), dims) if rows else np.zeros((0, dims), np.float32)
     tree = grow(sample, rows, leaf=leaf)
