@@ -61,6 +61,7 @@ def by_page_headers(elements: DataFrame, *, doc: str = "accession_no", form: str
     Whether it does depends on the state, so a document is one sequence: its rows are sorted in their
     partition and streamed, with only the state in memory.
     """
+    names = elements.columns
     known = F.lit(None).cast("string")
     for f, markers in PAGE_HEADERS.items():
         for marker, section in markers.items():
@@ -84,7 +85,7 @@ def by_page_headers(elements: DataFrame, *, doc: str = "accession_no", form: str
                     section, name = None, None
                 elif section is not None and kind not in NOISE:
                     found.append((i, section, name))
-            picked = batch.iloc[[i for i, *_ in found]][list(elements.columns)]
+            picked = batch.iloc[[i for i, *_ in found]][names]
             yield picked.assign(section_id=[s for _, s, _ in found], section_title=[n for *_, n in found])
 
     return rows.repartition(doc).sortWithinPartitions(doc, "element_index").mapInPandas(walk, kinds)

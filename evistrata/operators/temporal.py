@@ -111,7 +111,7 @@ def active_lineages(states: DataFrame, day: Column, *, by: str = "cik", only: Co
 def dropped(states: DataFrame, *, by: str = "cik", example: str = "summary", limit: int | None = 10) -> DataFrame:
     """Deleted lineages with their days and the example of the least risk id, latest first."""
     rows = states.where("status = 'Deleted' AND lineage_id IS NOT NULL").groupBy(by, "lineage_id").agg(
-        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min_by(example, "risk_id").alias("example")
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min(F.struct(F.col("risk_id").alias("r"), F.col(example).alias("e")))["e"].alias("example")
     )
     return rows.orderBy(F.desc("last_seen"), by, "lineage_id").limit(limit) if limit else rows
 

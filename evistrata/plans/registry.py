@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evistrata.plans import lake, snapshots
+from evistrata.plans import evaluate, hybrid, knowledge, lake, risks, service, snapshots, texts, trade
 
-MODULES = (lake, snapshots)
+MODULES = (lake, knowledge, risks, texts, evaluate, service, trade, hybrid, snapshots)
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, base: str) -> DataFrame:
-    return snapshots.p3_changes(spark, base)
+    return hybrid.hybrid_retrieve(spark, base)
