@@ -85,8 +85,9 @@ def by_page_headers(elements: DataFrame, *, doc: str = "accession_no", form: str
                     section, name = None, None
                 elif section is not None and kind not in NOISE:
                     found.append((i, section, name))
-            picked = batch.iloc[[i for i, *_ in found]][names]
-            yield picked.assign(section_id=[s for _, s, _ in found], section_title=[n for *_, n in found])
+            columns = {n: batch[n].tolist() for n in names}
+            picked = {n: [values[i] for i, *_ in found] for n, values in columns.items()}
+            yield pd.DataFrame(picked | {"section_id": [s for _, s, _ in found], "section_title": [n for *_, n in found]}, dtype=object)
 
     return rows.repartition(doc).sortWithinPartitions(doc, "element_index").mapInPandas(walk, kinds)
 

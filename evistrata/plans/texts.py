@@ -52,7 +52,10 @@ def segment_page_headers(spark: SparkSession, base: str) -> DataFrame:
     rows = elements(spark, base)
     header = F.regexp_extract("text", r"^Item \w+\. (?:Item \w+\. )?(.*)$", 1)
     is_item = F.col("text").startswith("Item ") & (F.col("element_type") == "TitleElement")
-    rows = rows.withColumn("element_type", F.when(is_item, "PageHeaderElement").otherwise(F.col("element_type"))).withColumn("text", F.when(is_item, F.concat(header, F.lit(" 12"))).otherwise(F.col("text")))
+    rows = rows.withColumns({
+        "element_type": F.when(is_item, "PageHeaderElement").otherwise(F.col("element_type")),
+        "text": F.when(is_item, F.concat(header, F.lit(" 12"))).otherwise(F.col("text")),
+    })
     found = sections.by_page_headers(rows.where("text <> ''"))
     return found.groupBy("accession_no", "section_id", "section_title").agg(F.count("*").alias("n"))
 

@@ -13,7 +13,7 @@ def _shipments(spark: SparkSession, base: str) -> DataFrame:
     lines = table(spark, base, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
     orders = table(spark, base, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.to_date("o_orderdate").alias("date"))
     return lines.join(orders, "l_orderkey").select(
-        (-F.col("l_suppkey")).alias("src"), F.lit("SUPPLIES_TO").alias("rel"), F.col("o_custkey").alias("dst"), "date",
+        (-F.col("l_suppkey") - 1).alias("src"), F.lit("SUPPLIES_TO").alias("rel"), F.col("o_custkey").alias("dst"), "date",
         F.col("l_orderkey").cast("string").alias("chunk_id"), F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("quote"),
     )
 
@@ -55,10 +55,10 @@ def part_types(spark: SparkSession, base: str) -> DataFrame:
     return rows.groupBy("p_type", "l_returnflag").agg(F.count("*").alias("parts"), F.min("p_retailprice").alias("least"), F.max("p_retailprice").alias("most"))
 
 
-_E = "e AS (SELECT DISTINCT -l_suppkey AS src, o_custkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+_E = "e AS (SELECT DISTINCT -l_suppkey - 1 AS src, o_custkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 QUERIES = {f.__name__: f for f in (trade_edges, trade_k_hop, trade_distances, trade_chain, part_types)}
 SQL = {
-    "trade_edges": """WITH m AS (SELECT -l_suppkey AS src, o_custkey AS dst, o_orderdate::DATE AS date, l_orderkey::VARCHAR AS id, min(l_orderkey || ':' || l_linenumber) AS quote
+    "trade_edges": """WITH m AS (SELECT -l_suppkey - 1 AS src, o_custkey AS dst, o_orderdate::DATE AS date, l_orderkey::VARCHAR AS id, min(l_orderkey || ':' || l_linenumber) AS quote
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3, 4)
       SELECT src, dst, min(date) AS start_date, string_agg(id, ',' ORDER BY date, id) AS ids, first(quote ORDER BY date, id, quote) AS quote FROM m GROUP BY 1, 2""",
     "trade_k_hop": f"WITH {_E}, near AS (SELECT 1::BIGINT AS n UNION SELECT src FROM e WHERE dst = 1) SELECT src, count(*) AS edges FROM e WHERE src IN (SELECT n FROM near) OR dst IN (SELECT n FROM near) GROUP BY 1",
