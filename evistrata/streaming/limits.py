@@ -11,15 +11,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from evistrata.operators.limits import SlidingWindow
 
 
-def rate_limited_stream(events: DataFrame, *, key: str, at: str, event: str, most: int, window_seconds: float) -> DataFrame:
+def rate_limited_stream(events: DataFrame, *, key: str, at: str, event: str, most: int, window_seconds: float, late: str = "1 minute") -> DataFrame:
     """``key, event, at_seconds, allowed`` of a stream of events, by the same rule as the batch operator.
 
-    The state of a key is the times of its accepted events, at most ``most``; it is dropped when no event
-    has come for twice the window. Events are decided in the order of their times within a micro-batch,
+    The state of a key is the times of its accepted events, at most ``most``; it is dropped when the
+    watermark has passed its last event by more than the window. Events are decided in the order of their times within a micro-batch,
     and as they come between micro-batches.
     """
-    seconds = F.unix_micros(F.col(at).cast("timestamp")) / 1e6
-    rows = events.select(F.col(key).cast("string").alias("key"), F.col(event).cast("string").alias("event"), seconds.alias("at_seconds"))
+    timed = events.withColumn("__at", F.col(at).cast("timestamp")).withWatermark("__at", late)
+    seconds = F.unix_micros("__at") / 1e6
+    rows = timed.select(F.col(key).cast("string").alias("key"), F.col(event).cast("string").alias("event"), seconds.alias("at_seconds"), "__at")
 
     def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -28,14 +29,15 @@ def rate_limited_stream(events: DataFrame, *, key: str, at: str, event: str, mos
         limit = SlidingWindow(most, window_seconds)
         if state.exists:
             limit.accepted.extend(state.get[0])
-        batch = pd.concat(list(frames)).sort_values(["at_seconds", "event"], kind="stable")
+        batch = pd.concat(list(frames)).sort_values(["at_seconds", "event"], kind="stable")[["event", "at_seconds"]]
         allowed = [limit.allow(t) for t in batch["at_seconds"]]
         state.update((list(limit.accepted),))
-        state.setTimeoutDuration(max(1, int(2_000 * window_seconds)))
-        yield batch.assign(allowed=allowed)
+        ends = int(1_000 * (batch["at_seconds"].max() + window_seconds)) + 1_000
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        yield batch.assign(key=key[0], allowed=allowed)[["key", "event", "at_seconds", "allowed"]]
 
     return rows.groupBy("key").applyInPandasWithState(
-        decide, "key string, event string, at_seconds double, allowed boolean", "accepted array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        decide, "key string, event string, at_seconds double, allowed boolean", "accepted array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
