@@ -68,7 +68,8 @@ def totals(rows: DataFrame, *, key: str, groups: dict[str, Column], text: str =
     counts once, by its ``latest`` row. Defined cases: a null group value is a slice of its own; rows
     without a key are left out; an empty table gives no rows.
     """
-    stored = F.lit(None) if stored is None else stored
+    has_stored = stored is not None
+    stored = stored if has_stored else F.lit(None)
     tokens = token_count(F.col(text))
     picked = rows.where(F.col(key).isNotNull()).select(
         F.col(key).alias("__key"), (F.lit(0) if latest is None else latest).alias("__at"), *[e.alias(g) for g, e in groups.items()],
@@ -76,6 +77,8 @@ def totals(rows: DataFrame, *, key: str, groups: dict[str, Column], text: str =
     )
     value = F.struct("__at", "__n", "__stored", *groups)
     one = picked.groupBy("__key").agg(F.max(value).alias("v")).select("v.*")
+    if not has_stored:
+        return one.groupBy(*groups).agg(F.count("*").alias("items"), F.sum("__n").alias("tokens"))
     off = F.col("__stored").isNull() | (F.col("__stored") <= 0) | (F.col("__stored") > 2 * F.col("__n")) | (2 * F.col("__stored") < F.col("__n"))
     return one.groupBy(*groups).agg(
         F.count("*").alias("items"),

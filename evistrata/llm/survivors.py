@@ -43,8 +43,9 @@ def plain_unit(value: Column) -> Column:
 
 
 def digits(value: Column) -> Column:
-    only = F.regexp_replace(filled(value), r"[^0-9]", "")
-    return F.when(only != "", only)
+    """The digits of a code, padded so that they compare as numbers do."""
+    only = F.regexp_replace(F.regexp_replace(filled(value), r"[^0-9]", ""), r"^0+(?=.)", "")
+    return F.when(only != "", F.concat(F.repeat(F.lit("0"), F.greatest(40 - F.length(only), F.lit(0))), only))
 
 
 def field_survivors(facts: DataFrame, concept_map: DataFrame) -> DataFrame:
