@@ -15,14 +15,19 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from evistrata.session import materialize
+
 Q = 2
 #: Jaccard index of the padded q-gram sets from which two words are compared further.
 ALIKE = 0.25
+#: The same for words written apart or together, which must be closer; single words from LONG letters on may be such.
+ALIKE_JOINED, LONG = 0.4, 10
+#: Letters by which two words may differ in length: more edits are never accepted, and look-alikes save two at most.
+LONGER = 5
 #: Score from which a mention is linked, and the lead over the next organisation.
 ACCEPT, LEAD = 0.86, 0.02
 #: A dictionary word of so many organisations is a common one, which may be abbreviated.
@@ -282,41 +287,44 @@ def mentions(extractions: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("joined", T.BooleanType())])))
 def _units(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: sorted({u for r in readings(t) for u in units(r) if 1 < len(u) <= 80}))
-
+    def of(text: str) -> list[tuple[str, bool]]:
+        single = {w for r in readings(text) for w in r}
+        every = {u for r in readings(text) for u in units(r)}
+        found = [(w, False) for w in single] + [(u, True) for u in every if u not in single or len(u) >= LONG]
+        return sorted(x for x in found if 1 < len(x[0]) <= 80)
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _grams(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: grams(sight(w)))
+    return texts.map(lambda t: [{"word": w, "joined": j} for w, j in of(t)])
 
 
-def similar_words(words: DataFrame, known: DataFrame, *, least: float = ALIKE) -> DataFrame:
+def similar_words(words: DataFrame, known: list[str], *, least: float = ALIKE) -> DataFrame:
     """Pairs (``word``, ``known``) whose q-gram sets have a Jaccard index of ``least`` or more.
 
     A prefix-filtered set-similarity join. Grams are ordered from rare to frequent by their count among
-    the known words, then by text; of a set of n grams the first n - ceil(least * n) + 1 are its prefix,
-    and sets that are similar enough share a gram of their prefixes. The index itself is checked after.
+    the known words, a list of bounded size, then by text; of a set of n grams the first
+    n - ceil(least * n) + 1 are its prefix, and sets that are similar enough share a gram of their
+    prefixes. Sizes bound the index before it is computed, and words whose lengths differ by more than
+    LONGER letters, which no number of accepted edits joins, are left out. Every pair comes out once.
     """
-    sets = lambda df: df.distinct().select("w", _grams("w").alias("g"))
-    a, b = sets(words.select(F.col(words.columns[0]).alias("w"))), sets(known.select(F.col(known.columns[0]).alias("w")))
-    counts = b.select(F.explode("g").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
-    # One row with all grams of the known words: of two letters each, their number is bounded by the alphabet.
-    order = counts.agg(F.map_from_entries(F.collect_list(F.struct("x", "n"))).alias("order"))
-
-    def prefixed(df: DataFrame, name: str) -> DataFrame:
-        ranked = F.array_sort(F.transform("g", lambda x: F.struct(F.coalesce(F.col("order")[x], F.lit(0)).alias("n"), x.alias("x"))))
-        size = F.size("g")
-        keep = size - F.ceil(size * least) + 1
-        df = df.join(F.broadcast(order)).select(F.col("w").alias(name), F.col("g").alias(f"g_{name}"), F.slice(F.transform(ranked, lambda s: s["x"]), 1, keep.cast("int")).alias("p"))
-        return df.select(name, f"g_{name}", F.explode("p").alias("x"))
-
-    both = prefixed(a, "word").join(prefixed(b, "known"), "x")
-    sizes = F.size("g_word"), F.size("g_known")
-    both = both.where((sizes[0] >= least * sizes[1]) & (sizes[1] >= least * sizes[0])).drop("x")
-    shared = F.size(F.array_intersect("g_word", "g_known"))
-    return both.where(shared >= least * (sizes[0] + sizes[1] - shared)).select("word", "known").distinct()
+    counts = Counter(g for w in known for g in grams(sight(w)))
+    rank = lambda w: sorted(grams(sight(w)), key=lambda g: (counts[g], g))
+    ranked = F.pandas_udf(lambda column: column.map(rank), T.ArrayType(T.StringType()))
+    spark = words.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    a = words.select(F.col(words.columns[0]).alias("word")).distinct().repartition(tasks, "word").select("word", ranked("word").alias("a"))
+    b = spark.createDataFrame([(w, rank(w)) for w in known], "known string, b array<string>")
+
+    def prefixed(df: DataFrame, column: str) -> DataFrame:
+        size = F.size(column)
+        return df.withColumn("g", F.explode(F.slice(column, 1, (size - F.ceil(size * F.lit(least)) + 1).cast("int"))))
+
+    na, nb = F.size("a"), F.size("b")
+    met = prefixed(a, "a").join(prefixed(b, "b"), "g").where((na >= least * nb) & (nb >= least * na) & (F.abs(F.length("word") - F.length("known")) <= LONGER))
+    both = F.array_intersect("a", "b")
+    shared = F.size(both)
+    # Of the grams that a pair shares in its prefixes, the first in order names it: each pair is kept once.
+    return met.where((F.get(both, 0) == F.col("g")) & (shared >= least * (na + nb - shared))).select("word", "known")
 
 
 def link_names(names: DataFrame, entities: DataFrame, *, text: str = "text") -> DataFrame:
@@ -331,13 +339,23 @@ def link_names(names: DataFrame, entities: DataFrame, *, text: str = "text") ->
     spark = names.sparkSession
     dictionary = Dictionary(rows)
     distinct = names.where(F.trim(F.col(text)) != "").select(F.col(text).alias("text")).distinct()
-    words = distinct.select("text", F.explode(_units("text")).alias("word"))
-    known = spark.createDataFrame([(w,) for w in sorted(dictionary.words())], "known string")
-    pairs = similar_words(words.select("word"), known)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = distinct.repartition(tasks, "text").select("text", F.explode(_units("text")).alias("u")).select("text", "u.*")
+    words = materialize(words)
+    alone, forms = sorted(dictionary.by_word), sorted(dictionary.words())
+    as_is = words.select("word").distinct().join(spark.createDataFrame([(w,) for w in forms], "known string"), F.col("word") == F.col("known"), "left_semi")
+    # A word that is in the dictionary stands for itself; only others are looked for among similar ones.
+    other = words.join(as_is, "word", "left_anti")
+    pairs = (
+        similar_words(other.where("NOT joined").select("word"), alone)
+        .union(similar_words(other.where("joined").select("word"), forms, least=ALIKE_JOINED))
+        .union(as_is.select("word", F.col("word").alias("known")))
+        .distinct()
+    )
     # A text has few words, so its list of similar words is short.
-    found = words.join(pairs, "word").groupBy("text").agg(F.collect_list(F.struct("word", "known")).alias("near"))
+    found = words.select("text", "word").distinct().join(pairs, "word").groupBy("text").agg(F.collect_list(F.struct("word", "known")).alias("near"))
     # Few bytes, much thought: a set number of tasks keeps adaptive execution from packing them into one.
-    texts = distinct.join(found, "text", "left").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "text")
+    texts = distinct.join(found, "text", "left").repartition(tasks, "text")
 
     shipped = spark.sparkContext.broadcast(rows)
 

@@ -120,7 +120,7 @@ def test_similar_words_equals_all_pairs(spark):
     r = random.Random(4)
     draw = lambda: "".join(r.choice("abcdef") for _ in range(r.randrange(3, 9)))
     left, right = sorted({draw() for _ in range(60)}), sorted({draw() for _ in range(60)})
-    got = {(x.word, x.known) for x in names.similar_words(spark.createDataFrame([(w,) for w in left], "w string"), spark.createDataFrame([(w,) for w in right], "w string")).collect()}
+    got = {(x.word, x.known) for x in names.similar_words(spark.createDataFrame([(w,) for w in left], "w string"), right).collect()}
     sets = {w: set(names.grams(names.sight(w))) for w in left + right}
     want = {(a, b) for a in left for b in right if len(sets[a] & sets[b]) >= names.ALIKE * len(sets[a] | sets[b])}
     assert got == want
