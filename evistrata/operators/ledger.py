@@ -29,3 +29,39 @@ def answer_lookup(questions: DataFrame, answers: DataFrame, now: Column, ttl_hou
     """Questions with their cached answer, if there is a valid one."""
     valid = cached_answers(answers, now, ttl_hours)
     return questions.join(valid.select(key, "answer", F.lit(True).alias("hit")), key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def policy_value(policies: DataFrame, key: str) -> DataFrame:
+    return policies.where(F.col("key") == key).select("value")
+
+
+def with_policy(policies: DataFrame, key: str, value: str, now: Column) -> DataFrame:
+    """The policy table with one value set, last write wins."""
+    from evistrata.operators.upserts import upsert_last
+
+    change = policies.sparkSession.createDataFrame([(key, value)], "key string, value string").withColumn("updated_at", now)
+    return upsert_last(policies, change, ["key"])
+
+
+def acceptable_question(question: Column, least: int = 8, most: int = 400) -> Column:
+    """The question with single blanks, or null if it is too short or too long."""
+    from evistrata.functions.text import squeezed
+
+    plain = squeezed(F.coalesce(question, F.lit("")))
+    return F.when(F.length(plain).between(least, most), plain)
+
+
+class Remembered:
+    """A value computed at most once per ``seconds``, such as the counts behind a status page."""
+
+    def __init__(self, compute, seconds: float = 30.0, clock=None):
+        import time
+
+        self.compute, self.seconds, self.clock = compute, seconds, clock or time.monotonic
+        self.at, self.value = None, None
+
+    def get(self):
+        now = self.clock()
+        if self.at is None or now - self.at > self.seconds:
+            self.at, self.value = now, self.compute()
+        return self.value

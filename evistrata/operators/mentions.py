@@ -39,7 +39,8 @@ def mentioned(texts: DataFrame, entities: DataFrame, *, key: str = "chunk_id", t
 def holds_words(text: Column, phrase: Column) -> Column:
     """Whether a lower-cased text holds a lower-cased phrase that neither starts nor ends inside a word."""
     quoted = F.regexp_replace(phrase, r"([\\.\[\](){}*+?^$|\-/])", r"\\$1")
-    return F.regexp_like(text, F.concat(F.lit(rf"(?<!{_WORD})"), quoted, F.lit(rf"(?!{_WORD})")))
+    # Most phrases are not there at all; only for the rest is a pattern compiled.
+    return F.contains(text, phrase) & F.regexp_like(text, F.concat(F.lit(rf"(?<!{_WORD})"), quoted, F.lit(rf"(?!{_WORD})")))
 
 
 def mention_lists(texts: DataFrame, entities: DataFrame, **names: str) -> DataFrame:

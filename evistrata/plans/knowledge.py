@@ -193,8 +193,8 @@ _ALIAS = "al AS (SELECT DISTINCT entity_id, lower(trim(a)) AS a FROM (SELECT ent
 
 
 def _found(table_: str, key: str, text: str) -> str:
-    return f"""SELECT DISTINCT t.{key}, al.entity_id FROM {table_} t JOIN al ON contains(lower(t.{text}), al.a)
-      AND regexp_matches(lower(t.{text}), '{_NB}' || regexp_escape(al.a) || '{_NA}')"""
+    return f"""SELECT DISTINCT t.{key}, al.entity_id FROM {table_} t JOIN al ON
+      CASE WHEN contains(lower(t.{text}), al.a) THEN regexp_matches(lower(t.{text}), '{_NB}' || regexp_escape(al.a) || '{_NA}') ELSE false END"""
 
 
 def _category_sql() -> str:
@@ -250,6 +250,9 @@ SQL = {
       SELECT cik, doc_id AS rule_id, arg_min(r.topic, r.i) AS topic FROM x JOIN r ON len(list_filter(words, lambda w: contains(lower(x.text), w))) > 0 GROUP BY 1, 2""",
     "mention_edges": f"WITH {CHUNKS}, {_ALIAS} {_found('chunks_once', 'chunk_id', 'text')}",
     "mention_counts": f"WITH {CHUNKS}, {_ALIAS}, m AS ({_found('chunks_once', 'chunk_id', 'text')}) SELECT chunk_id, string_agg(entity_id::VARCHAR, ',' ORDER BY entity_id) AS ids FROM m GROUP BY 1",
+    "detect_anchors": f"""WITH q AS (SELECT doc_id AS question_id, text AS question FROM documents WHERE lang = 'en' AND text IS NOT NULL), {_ALIAS}, m AS MATERIALIZED ({_found('q', 'question_id', 'question')})
+      SELECT question_id, entity_id, name FROM m JOIN canonical_entities USING (entity_id)
+      UNION ALL SELECT question_id, {ANCHORS[0]}, (SELECT name FROM canonical_entities WHERE entity_id = {ANCHORS[0]}) FROM q ANTI JOIN m USING (question_id)""",
     "quote_gate": f"""WITH {CHUNKS} SELECT risk_id, max(contains({_COMPARABLE.format('c.text')}, {_COMPARABLE.format('evidence_quote')})) AS supported
       FROM risk_factors r JOIN chunks_once c ON r.chunk_id = c.chunk_id GROUP BY 1""",
     "extraction_gate": f"""WITH {CHUNKS}, x AS (SELECT record_no, relations, risk_factors, {_COMPARABLE.format('c.text')} AS t FROM extractions e LEFT JOIN chunks_once c ON e.chunk_id = c.chunk_id),
