@@ -173,7 +173,7 @@ SQL = {
     "metric_growth": f"""WITH {METRICS}, l AS (SELECT *, lag(val) OVER (PARTITION BY cik, metric, unit ORDER BY period_end) AS previous FROM metrics)
       SELECT cik, metric, unit, period_end, val, previous, CASE WHEN previous <> 0 THEN val / previous - 1 END AS change FROM l""",
     "filing_scope": f"{SCOPE} SELECT chunk_id, ticker, form, accession_no, section_id FROM scope",
-    "cost_estimate": f"""{SCOPE} SELECT ticker, count(*) AS n_chunks, sum(n_tokens) AS chunk_tokens, sum(n_tokens) + count(*) * 900 AS input_tokens, count(*) * 700 AS output_tokens
+    "cost_estimate": f"""{SCOPE} SELECT ticker, count(*) AS n_chunks, sum(n_tokens)::BIGINT AS chunk_tokens, sum(n_tokens)::BIGINT + count(*) * 900 AS input_tokens, count(*) * 700 AS output_tokens
       FROM scope WHERE chunk_id NOT IN (SELECT chunk_id FROM extractions) GROUP BY 1""",
     "extraction_resume": f"WITH {CHUNKS} SELECT chunk_id, ticker FROM chunks_once c WHERE NOT EXISTS (SELECT 1 FROM extractions e WHERE e.chunk_id = c.chunk_id)",
     "filings_selected": f"""WITH f AS {_FILINGS} SELECT accession_no, ticker, form, filing_date FROM f WHERE form IN ('10-K', '20-F') AND year(filing_date) >= 2018
@@ -194,7 +194,7 @@ SQL = {
     "chunk_form_pivot": f"""WITH {CHUNKS} SELECT section_id, count(*) FILTER (form = '10-K') AS n_10k, count(*) FILTER (form = '10-Q') AS n_10q, count(*) FILTER (form = '20-F') AS n_20f,
       count(*) FILTER (form = '8-K') AS n_8k FROM chunks_once WHERE form IN ('10-K', '10-Q', '20-F', '8-K') GROUP BY 1""",
     "section_kinds": f"""WITH {CHUNKS} SELECT section_id, count(*) AS n_chunks, count(*) FILTER (kind = 'table') AS n_tables,
-      sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))) AS words, count(DISTINCT ticker) AS tickers FROM chunks_once GROUP BY 1""",
+      sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')))::BIGINT AS words, count(DISTINCT ticker) AS tickers FROM chunks_once GROUP BY 1""",
     "prose_about_supply": f"WITH {CHUNKS} SELECT ticker, section_id, count(*) AS n FROM chunks_once WHERE kind = 'prose' AND regexp_matches(text, '(?i)suppl|foundr') GROUP BY 1, 2",
     "chunk_sample": "SELECT chunk_id FROM (SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL) ORDER BY md5(chunk_id), chunk_id LIMIT 10",
     "facts_flattened": """SELECT cik, taxonomy, unit, count(*) AS n, count(DISTINCT concept) AS concepts, count(val) AS valued, min(accn) AS first_accn FROM xbrl_facts

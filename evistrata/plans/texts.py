@@ -135,7 +135,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 SQL = {
     "segment_items": f"""WITH {ELEMENTS} SELECT accession_no, section_id, count(*) + count(*) FILTER (trim(coalesce(sub_heading, '')) <> '') AS n,
-      min(trim('Item ' || split_part(section_id, '.', 2) || '. ' || coalesce(section_title, ''))) AS title, sum(length(trim(text))) + sum(length(trim(coalesce(sub_heading, '')))) AS n_chars
+      min(trim('Item ' || split_part(section_id, '.', 2) || '. ' || coalesce(section_title, ''))) AS title, (sum(length(trim(text))) + sum(length(trim(coalesce(sub_heading, '')))))::BIGINT AS n_chars
       FROM kept WHERE (accession_no, section_id) IN (SELECT (accession_no, section_id) FROM kept WHERE seq = 0) GROUP BY 1, 2""",
     "segment_all": f"""WITH {ELEMENTS}, filed AS (SELECT *, max(form) OVER (PARTITION BY accession_no) AS f FROM kept),
       items AS (SELECT * FROM filed WHERE (accession_no, section_id) IN (SELECT (accession_no, section_id) FROM kept WHERE seq = 0)),
