@@ -6,24 +6,29 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evistrata.operators import mentions, retrieval
 from evistrata.plans import knowledge, lake, risks
-from evistrata.session import table
+from evistrata.session import materialize, table
 
-ANCHOR = -132
+ANCHORS = [-132, 5_000_001]
 
 
-def graph_tables(spark: SparkSession, base: str) -> retrieval.Graph:
-    entities = table(spark, base, "canonical_entities")
+def _spans(spark: SparkSession, base: str) -> DataFrame:
     spans = table(spark, base, "evidence_spans").where("size(embedding) = 128").groupBy("chunk_id").agg(F.max(F.struct("encoded_at", "embedding")).alias("v"))
-    texts = lake.chunks_once(spark, base)
-    spans = spans.select("chunk_id", F.col("v.embedding").alias("embedding")).join(texts.select("chunk_id", "text", "source_url"), "chunk_id")
+    texts = lake.chunks_once(spark, base).select("chunk_id", "text", "source_url")
+    return spans.select("chunk_id", F.col("v.embedding").alias("embedding")).join(texts, "chunk_id")
+
+
+def graph_tables(spark: SparkSession, base: str, anchors: list[int]) -> retrieval.Graph:
+    """The tables of retrieval; texts are searched for the anchors' names only."""
+    entities, texts = table(spark, base, "canonical_entities").where(F.col("entity_id").isin(*anchors)), lake.chunks_once(spark, base)
     annual = risks.annual_risks(spark, base)
     return retrieval.Graph(
         companies=knowledge.companies(spark, base),
-        edges=knowledge.relation_graph(spark, base),
+        # Read by several layers: computed once.
+        edges=materialize(knowledge.relation_graph(spark, base)),
         metrics=lake._metrics(spark, base),
         risks=annual.select("risk_id", "cik", "summary", "category", "chunk_id", "embedding"),
-        states=risks._states(spark, base),
-        spans=spans,
+        states=materialize(risks._states(spark, base)),
+        spans=_spans(spark, base),
         mentions=mentions.mentioned(texts, entities),
     )
 
@@ -34,7 +39,7 @@ def _query(spark: SparkSession, base: str) -> list[float]:
 
 
 def _layers(spark: SparkSession, base: str) -> dict[str, DataFrame]:
-    return retrieval.hybrid(graph_tables(spark, base), [ANCHOR, 5_000_001], _query(spark, base))
+    return retrieval.hybrid(graph_tables(spark, base, ANCHORS), ANCHORS, _query(spark, base))
 
 
 def hybrid_retrieve(spark: SparkSession, base: str) -> DataFrame:
@@ -45,12 +50,12 @@ def retrieval_counts(spark: SparkSession, base: str) -> DataFrame:
     """Side by side: lines per layer of hybrid retrieval, and of vectors alone."""
     layers = _layers(spark, base)
     lines = retrieval.lines(layers).groupBy("block").agg(F.count("*").alias("n"))
-    alone = retrieval.vector_only(graph_tables(spark, base).spans, _query(spark, base)).agg(F.count("*").alias("n"))
+    alone = retrieval.vector_only(_spans(spark, base), _query(spark, base)).agg(F.count("*").alias("n"))
     return lines.union(alone.select(F.lit("VECTOR ONLY").alias("block"), "n"))
 
 
 def vector_excerpts(spark: SparkSession, base: str) -> DataFrame:
-    found = retrieval.vector_only(graph_tables(spark, base).spans, _query(spark, base))
+    found = retrieval.vector_only(_spans(spark, base), _query(spark, base))
     return found.select("chunk_id", F.round("score", 6).alias("score"))
 
 
