@@ -24,7 +24,7 @@ def graph_tables(spark: SparkSession, base: str, anchors: list[int]) -> retrieva
     return retrieval.Graph(
         companies=knowledge.companies(spark, base),
         # Read by several layers: computed once.
-        edges=materialize(knowledge.relation_graph(spark, base)),
+        edges=materialize(knowledge.resolved_graph(spark, base)),
         metrics=lake._metrics(spark, base),
         risks=annual.select("risk_id", "cik", "summary", "category", "chunk_id", "embedding"),
         states=materialize(risks._states(spark, base)),
