@@ -25,7 +25,7 @@ from evistrata.session import materialize
 SAMPLE, CALIBRATION = 65_536, 1_024
 #: Vectors a leaf is meant to hold, children of an inner node, and vectors of a leaf per task.
 LEAF, BRANCH, BLOCK = 3_000, 8, 4_096
-#: Share of true neighbours that the visited leaves must hold, and the widest search.
+#: Share of true neighbours that the visited leaves must hold, and the widest search that is calibrated first.
 RECALL, WIDEST = 0.997, 64
 #: Leaves that a traversal opens before it settles on the best of them.
 LOOKED, WIDER = 16, 2
@@ -242,11 +242,40 @@ def _best(similar: np.ndarray, mine: np.ndarray, ids: np.ndarray, k: int, least:
 
 
 def _calibrate(distinct, queries, query_ids, tree, shipped, dims, k, least, target) -> tuple[int, float]:
-    """Leaves to visit, and the share of true neighbours met by then, from brute force for the queries."""
+    """Leaves to visit, and the share of true neighbours met by then, from brute force for the queries.
+
+    Where WIDEST leaves do not reach the target, twice as many are tried, up to all leaves, which miss nothing.
+    Where the queries have no true neighbours nothing can be measured, and all leaves are visited.
+    """
     if not len(queries) or tree.leaves == 1:
         return 1, 1.0
+    opened = lambda width: min(tree.leaves, max(LOOKED, WIDER * width))
+    most, settled = min(WIDEST, tree.leaves), False
+    while True:
+        places = _places(distinct, queries, query_ids, tree, shipped, dims, k, least, most)
+        total = sum(places.values())
+        met = total - places.get(most, 0)
+        if not total:
+            return tree.leaves, 1.0
+        if met < target * total:
+            most = min(tree.leaves, most + (max(1, most // 4) if settled else most))
+            continue
+        if settled:
+            return most, met / total
+        width, met = 1, places.get(0, 0)
+        while met < target * total:
+            met += places.get(width, 0)
+            width += 1
+        if opened(width) == opened(most):
+            return width, met / total
+        # A narrower search also opens fewer leaves to choose from, so it is measured by itself.
+        most, settled = width, True
+
+
+def _places(distinct, queries, query_ids, tree, shipped, dims, k, least, most) -> dict[int, int]:
+    """How many true neighbours of the queries are met in the first, second, ... of ``most`` leaves."""
     spark = distinct.sparkSession
-    asked = spark.sparkContext.broadcast((queries, np.array(query_ids), tree.visits(queries, WIDEST)))
+    asked = spark.sparkContext.broadcast((queries, np.array(query_ids), tree.visits(queries, most)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, qids, order = asked.value
@@ -258,27 +287,18 @@ def _calibrate(distinct, queries, query_ids, tree, shipped, dims, k, least, targ
                 continue
             # The pair is met if either one asks in the leaf that holds the other.
             near, where = np.unique(b, return_inverse=True)
-            back = tree.visits(v[near], WIDEST)
-            place = np.minimum(_place(order[a], back[where, 0]), _place(back[where], order[a][:, 0]))
+            back = tree.visits(v[near], most)
+            place = np.minimum(_place(order[a], back[where, 0], most), _place(back[where], order[a][:, 0], most))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(s.astype(np.float64)), pa.array(place)], ["q", "s", "place"])
 
     near = distinct.mapInArrow(run, "q long, s double, place int")
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "place"))).where(F.col("r") <= k)
-    places = {r["place"]: r["n"] for r in best.groupBy("place").agg(F.count("*").alias("n")).collect()}
-    total = sum(places.values())
-    if not total:
-        return min(2, tree.leaves), 1.0
-    met = 0
-    for width in range(1, min(WIDEST, tree.leaves) + 1):
-        met += places.get(width - 1, 0)
-        if met >= target * total:
-            return width, met / total
-    return min(WIDEST, tree.leaves), met / total
+    return {r["place"]: r["n"] for r in best.groupBy("place").agg(F.count("*").alias("n")).collect()}
 
 
-def _place(order: np.ndarray, home: np.ndarray) -> np.ndarray:
+def _place(order: np.ndarray, home: np.ndarray, most: int) -> np.ndarray:
     hit = order == home[:, None]
-    return np.where(hit.any(1), hit.argmax(1), WIDEST).astype(np.int32)
+    return np.where(hit.any(1), hit.argmax(1), most).astype(np.int32)
 
 
 def _pairs(q, qids, ids, v, k, least):

@@ -171,3 +171,18 @@ def test_tree_visits_all_leaves_once():
     tree = neighbours.grow(v, len(v), leaf=40)
     order = tree.visits(v[:20], tree.leaves)
     assert all(sorted(o) == list(range(tree.leaves)) for o in order.tolist())
+
+
+def test_search_widens_until_the_recall_is_met(spark, monkeypatch):
+    """Vectors without structure, so that few neighbours are in the first leaves."""
+    monkeypatch.setattr(neighbours, "WIDEST", 2)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(1_200, 128))
+    keys = [f"k{i:04d}" for i in range(len(v))]
+    df = spark.createDataFrame([(k, "", x.tolist()) for k, x in zip(keys, v)], "key string, at string, vector array<float>")
+    near = neighbours.nearest(df, leaf=40, recall=0.9)
+    assert near.leaves > 4 and near.visited > 2 and near.recall >= 0.9
+    got, want = {(r.key_a, r.key_b) for r in neighbours.close_pairs(near).collect()}, exact(keys, v, 10, -1.0)
+    assert len(got & want) >= 0.88 * len(want)
+    # No two are alike: nothing can be measured, so all leaves are visited.
+    assert (far := neighbours.nearest(df, leaf=40, least=0.99)).visited == far.leaves
