@@ -28,8 +28,10 @@ BANDS, ROWS, BITS = 32, 3, 192
 SAFETY = 5.0
 #: Classes of a tile; larger bands are cut into tiles that are compared by tasks of their own.
 TILE = 1_024
-#: Groups of equal sets up to this size are written as all pairs, larger ones as pairs with their least key.
+#: Groups of equal sets up to this size are written as all pairs by ``close_pairs``, larger ones as pairs with their least key.
 SPELLED_OUT = 50
+#: Keys of a block, where classes of any size are written as all pairs.
+DEALT = 256
 
 _U = np.uint64
 #: Columns of a fingerprint, 64 bits each.
@@ -399,6 +401,38 @@ def close_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return between.union(inside).union(star).distinct()
 
 
+def every_pair(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """``kind, key_a, key_b`` of all texts whose similarity reaches the threshold, copies included.
+
+    Like ``close_pairs``, but classes of any size are written as all pairs. Their keys are dealt to blocks
+    of about DEALT by hash; pairs of blocks are joined, so no row or task holds a class.
+    """
+    def dealt(by: str) -> tuple[DataFrame, DataFrame]:
+        sizes = members.groupBy("kind", by).agg(F.count("*").alias("copies")).where("copies > 1")
+        sizes = sizes.select("kind", by, F.ceil(F.col("copies") / DEALT).cast("int").alias("blocks"))
+        block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")
+        blocks = members.join(sizes, ["kind", by]).groupBy("kind", by, "blocks", block).agg(F.collect_list("key").alias("keys"))
+        return sizes, blocks
+
+    _, blocks = dealt("id")
+    left = blocks.select("kind", "id", F.col("block").alias("i"), F.col("keys").alias("xs"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
+    inside = left.join(blocks, ["kind", "id", "block"]).select("i", "block", "kind", F.explode("xs").alias("x"), "keys").select("i", "block", "kind", "x", F.explode("keys").alias("y"))
+    inside = inside.where("i < block OR x < y")
+
+    sizes, blocks = dealt("representative")
+    side = lambda n: sizes.select("kind", F.col("representative").alias(n), F.col("blocks").alias(f"blocks_{n}"))
+    keys = lambda n: blocks.select("kind", F.col("representative").alias(n), F.col("block").alias(f"block_{n}"), F.col("keys").alias(f"keys_{n}"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(f"blocks_{n}", F.lit(1)) - 1)).alias(f"block_{n}")
+    own = lambda n: F.explode(F.coalesce(f"keys_{n}", F.array(n)))
+    between = pairs.select("kind", "a", "b").join(side("a"), ["kind", "a"], "left").join(side("b"), ["kind", "b"], "left")
+    between = between.select("kind", "a", "b", "blocks_a", "blocks_b", each("a")).select("*", each("b"))
+    between = between.join(keys("a"), ["kind", "a", "block_a"], "left").join(keys("b"), ["kind", "b", "block_b"], "left")
+    # A block may be empty by its hash; a class of one key has no list.
+    between = between.where("(keys_a IS NOT NULL OR blocks_a IS NULL) AND (keys_b IS NOT NULL OR blocks_b IS NULL)")
+    between = between.select("kind", own("a").alias("x"), "b", "keys_b").select("kind", "x", own("b").alias("y")).where("x <> y")
+    return between.union(inside.select("kind", "x", "y")).select("kind", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """``kind, key, group``: texts linked by ``pairs`` (kind, a, b), each with its group's least key.
 

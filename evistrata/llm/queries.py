@@ -44,7 +44,7 @@ def _near_texts(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
-    return near_duplicates.close_pairs(*_near_texts(spark, base))
+    return near_duplicates.every_pair(*_near_texts(spark, base))
 
 
 def p5_groups(spark: SparkSession, base: str) -> DataFrame:

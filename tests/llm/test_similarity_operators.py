@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from evistrata.llm import near_duplicates as nd, neighbours
+from evistrata.llm import near_duplicates as nd, neighbours, queries
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -72,6 +72,20 @@ def test_many_copies_are_a_star(spark):
     assert {r.group for r in groups} == {"k000"} and {r.links for r in groups} == {n - 1}
 
 
+def test_found_pairs_of_large_classes_are_all_there(spark, monkeypatch, tmp_path):
+    """Two close families of copies, equal and written otherwise, dealt to many blocks."""
+    monkeypatch.setattr(nd, "DEALT", 16)
+    r = random.Random(9)
+    base = [r.choice(WORDS) for _ in range(60)]
+    near = [*base[:-2], "other", "end"]
+    rows = [(f"k{i:03d}", " ".join(w if i % 3 else w.upper() for w in base)) for i in range(nd.SPELLED_OUT + 20)]
+    rows += [(f"l{i:03d}", ", ".join(near)) for i in range(nd.SPELLED_OUT + 10)] + corpus(4, 10)
+    spark.createDataFrame(rows, "chunk_id string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([], "risk_id string, evidence_quote string").write.parquet(f"{tmp_path}/risk_factors.parquet")
+    got = [(x.key_a, x.key_b) for x in queries.p5_found(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 3, 0.6)
+
+
 def test_large_bands_are_dealt_as_tiles(spark, monkeypatch):
     """A third of all texts in one group of near-equal ones, with tiles small enough to be used."""
     monkeypatch.setattr(nd, "TILE", 16)
