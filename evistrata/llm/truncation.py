@@ -21,7 +21,7 @@ from evistrata.llm.budget import tidy_code
 LEAST = 20
 #: Lengths to each side that a length's hazard is compared with, and the accepted rate of false limits.
 NEIGHBOURS, FALSE_DISCOVERIES = 40, 0.01
-#: A closing line in so many documents, or in this share of them, belongs to the form of the texts.
+#: A closing line of so many different texts, and of this share of them, belongs to the form of the texts.
 COMMON, COMMON_SHARE = 3, 0.0005
 LINE = 100
 
@@ -37,6 +37,7 @@ _LABEL = re.compile(r"^([A-Z][\w /&’'-]{0,30}: )(.*)$")
 _LOOKS = re.compile(r"^https?://\S+$|^/s/ \S|^Page \d+ of \d+$|^\W+$|^[(\[{].*[)\]}]$|^[“\"].*[”\"]$")
 _NAME = re.compile(r"\b[^\W\d_a-z]\w+")
 _ITEM = re.compile(r"^(?:[-*•–‣·▪]|\(?[0-9a-z]{1,3}[.)])\s+\S")
+_DIGITS = re.compile(r"\d*$")
 _BROKEN_NUMBER = re.compile(r"(?:[$€£¥]|(?<=\s))\d{1,3}[.,]$")
 
 
@@ -84,30 +85,37 @@ def ending(text: str) -> tuple[str, str]:
 
 def _endings(documents: DataFrame, key: str, text: str, source: str) -> DataFrame:
     rows = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(key).cast("long").alias("key"), tidy_code(F.col(source)).alias("source"), F.col(text).alias("text")
+        F.col(key).cast("long").alias("key"), tidy_code(F.col(source)).alias("source"), F.col(text).alias("text"), F.xxhash64(text).alias("same")
     )
-    schema = pa.schema([("key", pa.int64()), ("source", pa.string()), ("chars", pa.int64()), ("bytes", pa.int64()), ("state", pa.string()), ("line", pa.string())])
+    kinds = [("chars", pa.int64()), ("bytes", pa.int64()), ("state", pa.string()), ("line", pa.string()), ("digits", pa.int32()), ("hidden", pa.bool_())]
+    schema = pa.schema([("key", pa.int64()), ("source", pa.string()), ("same", pa.int64()), *kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for value in batch.column(2).to_pylist():
                 state, line = ("short", "") if len(value) < LEAST else ending(value)
-                out.append((len(value), len(value.encode()), state, line))
-            columns = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, f.type) for c, f in zip(columns, list(schema)[2:])]], schema=schema)
+                # What counting hides of the end: the digits of a last number, and whether the last word is masked.
+                last = value.rstrip(_BLANK).rpartition("\n")[2].strip(_BLANK) if line else ""
+                digits = len(_DIGITS.search(last)[0])
+                out.append((len(value), len(value.encode()), state, line, digits, last.split()[-1:] != line.split()[-1:]))
+            columns = zip(*out) if out else ((),) * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *[pa.array(c, f.type) for c, f in zip(columns, list(schema)[3:])]], schema=schema)
 
-    return rows.mapInArrow(run, "key long, source string, chars long, bytes long, state string, line string")
+    return rows.mapInArrow(run, "key long, source string, same long, chars long, bytes long, state string, line string, digits int, hidden boolean")
 
 
 def _headings(documents: DataFrame, text: str) -> DataFrame:
-    """Lines that documents go on after, without being sentences; counted over the whole corpus."""
+    """Lines that texts go on after, without being sentences, by the digits they end with; different texts of
+    the whole corpus are counted."""
     blank = r"(?U)[\s​﻿]+$"
     lines = F.split(F.regexp_replace(F.col(text), blank, ""), r"\n")
     before_last = F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))
     short = F.filter(F.transform(before_last, F.trim), lambda x: (F.length(x) > 0) & (F.length(x) <= LINE) & ~x.rlike(r"[.。!?|,;:]$"))
     masked = F.regexp_replace(F.regexp_replace(F.col("l"), r"\d+", "9"), r"\b[A-Z]{2,}(?=-9)", "AA")
-    return documents.where(F.col(text).contains("\n")).select(F.explode(F.array_distinct(short)).alias("l")).groupBy(masked.alias("line")).agg(F.count("*").alias("n"))
+    lines = documents.where(F.col(text).contains("\n")).select(F.xxhash64(text).alias("same"), F.explode(F.array_distinct(short)).alias("l"))
+    lines = lines.groupBy(masked.alias("line"), "same").agg(F.min(F.length(F.regexp_extract("l", r"\d*$", 0))).alias("digits"))
+    return lines.groupBy("line", "digits").agg(F.count("*").alias("n"))
 
 
 def length_limits(lengths: DataFrame, *, neighbours: int = NEIGHBOURS, rate: float = FALSE_DISCOVERIES) -> DataFrame:
@@ -141,7 +149,8 @@ def length_limits(lengths: DataFrame, *, neighbours: int = NEIGHBOURS, rate: flo
 
 def _limited(ends: DataFrame) -> DataFrame:
     units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length"))))
-    long = ends.where(F.col("chars") >= LEAST).select("source", units.alias("u")).select("source", "u.*")
+    # Copies of a text all end at its length, which is no sign of a limit.
+    long = ends.where(F.col("chars") >= LEAST).dropDuplicates(["source", "same"]).select("source", units.alias("u")).select("source", "u.*")
     return length_limits(long)
 
 
@@ -163,19 +172,24 @@ def truncations(documents: DataFrame, *, key: str = "doc_id", text: str = "text"
     at_limit = F.coalesce("hit_chars", F.lit(False)) | F.coalesce("hit_bytes", F.lit(False))
 
     undecided = F.col("state").isin("line", "looks")
-    size = ends.agg(F.count("*").alias("size"))
-    finals = ends.where(undecided).groupBy("line").agg(F.count("*").alias("n"))
+    # Copies of a text are one text: by being repeated a cut line does not become a common one.
+    size = ends.agg(F.countDistinct("same").alias("size"))
+    finals = ends.where(undecided).groupBy("line", "digits").agg(F.countDistinct("same").alias("n")).join(F.broadcast(size))
+    enough = lambda least: F.min(F.when(F.col("n") >= least, F.col("digits"))).alias("digits")
+    asked = F.greatest(F.lit(COMMON), COMMON_SHARE * F.col("size"))
     common = (
-        finals.join(F.broadcast(size)).where((F.col("n") >= COMMON) & (F.col("n") >= COMMON_SHARE * F.col("size"))).select("line")
-        .union(_headings(documents, text).where(F.col("n") >= COMMON).select("line"))
-        .distinct()
+        finals.groupBy("line").agg(F.sum("n").alias("total"), F.max("size").alias("size"), enough(asked)).where(F.col("total") >= asked).select("line", "digits")
+        .union(_headings(documents, text).groupBy("line").agg(F.sum("n").alias("total"), enough(COMMON)).where(F.col("total") >= COMMON).select("line", "digits"))
+        .groupBy("line").agg(F.min(F.coalesce("digits", F.lit(0))).alias("least"))
         .withColumn("is_common", F.lit(True))
     )
     judged = ends.join(common, "line", "left")
+    # A number shorter than such lines end with is unfinished; at a limit, a name that is masked may be so too.
+    finished = F.coalesce("is_common", F.lit(False)) & (F.col("digits") >= F.col("least")) & ~(F.col("hidden") & (F.col("digits") == 0) & at_limit)
     cut = (
         F.when(F.col("state") == "cut", True)
         .when(~undecided, False)
-        .when(F.coalesce("is_common", F.lit(False)), False)
+        .when(finished, False)
         .when(F.col("state") == "looks", at_limit)
         .otherwise(True)
     )

@@ -76,6 +76,21 @@ def test_truncations(spark):
     assert truncation.truncations(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
 
 
+def test_copies_and_masked_ends_do_not_hide_cuts(spark):
+    r = random.Random(3)
+    body = lambda i, n: f"Report {i} says that all went well. ".ljust(n, "x")
+    rows = [(i, "copies", "All of it is fine here.\n\nUntil the Geskiong line is requa") for i in range(40)]
+    rows += [(100 + i, "dates", f"Text {i} is over.\n\nDated: September {i + 1}, 2020") for i in range(6)]
+    rows += [(110, "dates", "Another text is over.\n\nDated: September 12, 20"), (111, "dates", "Another text is over.\n\nDated: May 12, 2021")]
+    rows += [(200 + i, "limit", body(i, r.randrange(150, 900)) + ".\n\nSigned: Anna Smith") for i in range(300)]
+    rows += [(600 + i, "limit", body(i, 500)) for i in range(60)] + [(700, "limit", body(700, 485) + ".\n\nSigned: Anna")]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert frame.where("doc_id = 700 AND length(text) = 500 OR doc_id = 600 AND length(text) = 500").count() == 2
+    cut = {x.doc_id for x in truncation.truncations(frame.union(spark.createDataFrame([(701, "other", "A text.\n\nSigned: Anna"), (702, "other", "B text.\n\nSigned: Berta"), (703, "other", "C text.\n\nSigned: Carla")], frame.schema))).where("is_cut").collect()}
+    assert set(range(40)) <= cut and 110 in cut and 700 in cut
+    assert not cut & {*range(100, 106), 111, 701, 702, 703}
+
+
 def test_length_limits(spark):
     r = random.Random(1)
     rows = [("a", "chars", min(512, 300 + int(r.expovariate(1 / 150)))) for _ in range(2000)] + [("b", "chars", 300 + int(r.expovariate(1 / 150))) for _ in range(2000)]
