@@ -187,14 +187,13 @@ def nearest(
                 stored = (mine.view(np.uint64) >> np.uint64(7)) % blocks[home].astype(np.uint64)
                 whole = pa.array([r.tobytes() for r in np.ascontiguousarray(part, "<f4")], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(stored.astype(np.int32)), pa.array(np.zeros(len(mine), bool)), pa.array(mine), whole], schema=schema)
-                # A question is put once per block of a leaf, in half precision.
+                # A question is put once per block of a leaf.
                 row, col = np.nonzero(leaves >= 0)
                 to = leaves[row, col]
                 times = blocks[to]
-                half = [r.tobytes() for r in np.ascontiguousarray(part, "<f2")]
                 row, to, block = np.repeat(row, times), np.repeat(to, times), np.concatenate([np.arange(t) for t in times])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(to, pa.int32()), pa.array(block.astype(np.int32)), pa.array(np.ones(len(to), bool)), pa.array(mine[row]), pa.array([half[r] for r in row], pa.binary())], schema=schema
+                    [pa.array(to, pa.int32()), pa.array(block.astype(np.int32)), pa.array(np.ones(len(to), bool)), pa.array(mine[row]), whole.take(pa.array(row))], schema=schema
                 )
 
     def compare(group: pa.Table) -> pa.Table:
@@ -205,7 +204,7 @@ def nearest(
         out_a, out_b, out_s = [], [], []
         for start in range(0, len(asked) if len(ids) else 0, 1_024):
             mine = asked[start : start + 1_024]
-            q = _matrix(put["v"].slice(start, len(mine)).combine_chunks(), dims, "<f2")
+            q = _matrix(put["v"].slice(start, len(mine)).combine_chunks(), dims)
             a, b, s = _best(q @ v.T, mine, ids, k, least)
             out_a.append(a), out_b.append(b), out_s.append(s)
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)

@@ -200,3 +200,9 @@ def test_search_widens_until_the_recall_is_met(spark, monkeypatch):
     assert len(got & want) >= 0.88 * len(want)
     # No two are alike: nothing can be measured, so all leaves are visited.
     assert (far := neighbours.nearest(df, leaf=40, least=0.99)).visited == far.leaves
+
+
+def test_similarities_are_not_rounded_to_half_precision(spark):
+    rows = [(key, "", [c, (1 - c * c) ** 0.5 * sign, *[0.0] * 126]) for key, c, sign in (("a", 1.0, 1), ("b", 0.75002, 1), ("c", 0.74998, -1))]
+    near = neighbours.nearest(spark.createDataFrame(rows, "key string, at string, vector array<float>"), least=0.75)
+    assert {(r.key_a, r.key_b) for r in neighbours.close_pairs(near).collect()} == {("a", "b")}
