@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,7 +28,7 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset (local tests)."""
+    """The folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset on one machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -35,6 +36,8 @@ def shared_folder(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {sc.master} share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="evistrata-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -47,4 +50,12 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def release(stored: DataFrame) -> None:
+    """Delete the table behind what ``materialize`` returned, once nothing that reads it is to run any more."""
+    path = stored.sparkSession._jvm.org.apache.hadoop.fs.Path(stored.stored_at)
+    path.getFileSystem(stored.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
