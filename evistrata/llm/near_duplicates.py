@@ -21,17 +21,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from evistrata.session import materialize
+from evistrata.session import materialize, release
 
 BANDS, ROWS, BITS = 32, 3, 192
 #: Standard deviations that the fingerprint radius lies above the mean distance at the threshold.
 SAFETY = 5.0
 #: Classes of a tile; larger bands are cut into tiles that are compared by tasks of their own.
 TILE = 1_024
-#: Groups of equal sets up to this size are written as all pairs by ``close_pairs``, larger ones as pairs with their least key.
-SPELLED_OUT = 50
-#: Keys of a block, where classes of any size are written as all pairs.
+#: Keys of a block, as classes are written as all pairs.
 DEALT = 256
+#: Bytes of shingle sets that are held at once as candidate pairs are checked.
+HELD = 32 << 20
 
 _U = np.uint64
 #: Columns of a fingerprint, 64 bits each.
@@ -120,15 +120,24 @@ def radius(threshold: float) -> int:
     return int(BITS * p + SAFETY * (BITS * p * (1 - p)) ** 0.5)
 
 
+def population(prints: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(prints).sum(1, dtype=np.int64)
+
+
 def tile_pairs(n_a, fp_a, n_b, fp_b, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Positions of close pairs of two tiles, each ordered by set size.
 
-    Sets of sizes x <= y have a Jaccard index of at most x / y, so rows meet only a slice of the other
-    tile, and tiles whose sizes are too far apart do not meet at all.
+    The distance of two fingerprints is no less than the difference of their population counts, so tiles
+    whose counts differ beyond the radius are skipped. Likewise sets of sizes x <= y have a Jaccard index
+    of at most x / y, so rows meet only a slice of the other tile, and tiles too far apart do not meet.
     """
+    most = radius(threshold)
     if not len(n_a) or not len(n_b) or n_a[-1] < threshold * n_b[0] or n_b[-1] < threshold * n_a[0]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    left, right, most = [], [], radius(threshold)
+    pop_a, pop_b = population(fp_a), population(fp_b)
+    if pop_a.min() > pop_b.max() + most or pop_b.min() > pop_a.max() + most:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    left, right = [], []
     low = np.searchsorted(n_b, np.ceil(threshold * n_a - 1e-9), side="left")
     high = np.searchsorted(n_b, np.floor(n_a / threshold + 1e-9), side="right")
     for i in range(len(n_a)):
@@ -166,13 +175,14 @@ def _meet(threshold: float):
     most = radius(threshold)
 
     def small(band, n, ids, fp) -> pa.RecordBatch:
-        # All runs at once: each row against the one o places on, as long as any are of one band.
-        left, right = [], []
+        # Each run is one tile that meets itself. All runs at once: each row against the one o places on.
+        left, right, pop = [], [], population(fp)
         for o in range(1, len(band)):
             same = np.flatnonzero(band[o:] == band[:-o])
             if not len(same):
                 break
             same = same[n[same] >= threshold * n[same + o] - 1e-9]  # ordered by size within the band
+            same = same[np.abs(pop[same] - pop[same + o]) <= most]
             near = np.bitwise_count(fp[same] ^ fp[same + o]).sum(1) <= most
             left.append(ids[same[near]])
             right.append(ids[same[near] + o])
@@ -245,9 +255,9 @@ def near_duplicates(texts: DataFrame, *, words: int = 5, threshold: float = 0.8)
 
     ``texts`` has ``kind``, ``key`` and ``text``; only texts of one kind are compared. Returns
 
-    * pairs ``kind, a, b, similarity`` of representatives (the least key of each class of equal shingle
-      sets) whose Jaccard index is ``threshold`` or more, all of them, each once;
-    * members ``kind, key, representative, id``.
+    * pairs ``kind, a, b, similarity`` of class ids whose Jaccard index is ``threshold`` or more, all of
+      them, each once (a < b);
+    * members ``kind, key, id``: the class of each text.
 
     Defined cases: texts without a shingle (null, empty, under ``words`` words) are members of no class and
     in no pair; rows without a key are left out; a repeated key is one member; if its rows have different
@@ -263,38 +273,30 @@ def near_duplicates(texts: DataFrame, *, words: int = 5, threshold: float = 0.8)
                 whole, prints, bands = signatures(shingles, sizes)
                 full = pa.array(np.flatnonzero(sizes))
                 offsets = pa.array(np.arange(len(full) + 1, dtype=np.int32) * BANDS)
+                sets = np.split(shingles, np.cumsum(sizes[sizes > 0])[:-1]) if len(full) else []
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(full), part.column(1).take(full), pa.array(whole.view(np.int64)), pa.array(sizes[sizes > 0].astype(np.int32)),
                         *(pa.array(f.copy().view(np.int64)) for f in prints.T),
                         pa.ListArray.from_arrays(offsets, pa.array(bands.ravel().view(np.int64))),
+                        pa.array([s.tobytes() for s in sets], pa.binary()),
                     ],
-                    ["kind", "key", "sethash", "n", *PRINT, "bands"],
+                    ["kind", "key", "sethash", "n", *PRINT, "bands", "shingles"],
                 )
 
-    signed = rows.mapInArrow(sign, f"kind string, key string, sethash long, n int, {_PRINT}, bands array<long>")
+    signed = rows.mapInArrow(sign, f"kind string, key string, sethash long, n int, {_PRINT}, bands array<long>, shingles binary")
     signed = signed.withColumn("id", F.xxhash64("kind", "sethash", "n"))
-    signed = materialize(signed.select("kind", "key", "id", "n", *PRINT, "bands"))
-    classes = signed.groupBy("kind", "id").agg(F.min("key").alias("representative"))
+    signed = materialize(signed.select("kind", "key", "id", "n", *PRINT, "bands", "shingles"))
     members = signed.select("kind", "key", "id").distinct()
     # Equal sets have equal bands, so one row of each goes on; copies collapse in each task before the shuffle.
-    single = signed.dropDuplicates(["id"])
+    single = signed.select("kind", "id", "n", *PRINT, "bands").dropDuplicates(["id"])
     salted = single.select(
         F.explode(F.transform("bands", lambda b: F.xxhash64("kind", b))).alias("band"), "n", "id", *PRINT
     )
     met = salted.repartition("band").sortWithinPartitions("band", "n").mapInArrow(_meet(threshold), f"a long, b long, band long, tile int, n int, {_PRINT}")
     met = materialize(met)
     candidates = met.where("band IS NULL").select("a", "b").union(_tiles(met.where("band IS NOT NULL"), threshold)).distinct()
-
-    names = classes.select("id", "kind", "representative")
-    named = (
-        candidates.join(names.select(F.col("id").alias("a"), "kind", F.col("representative").alias("ka")), "a")
-        .join(names.select(F.col("id").alias("b"), F.col("representative").alias("kb")), "b")
-        .select("kind", F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
-    )
-    named = materialize(named)
-    pairs = _verified(named, rows, words, threshold)
-    return pairs, members.join(classes, ["kind", "id"]).select("kind", "key", "representative", "id")
+    return _verified(materialize(candidates), signed, threshold), members
 
 
 def _tiles(dealt: DataFrame, threshold: float) -> DataFrame:
@@ -325,118 +327,78 @@ def _tiles(dealt: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("band", "ta", "tb").applyInArrow(compare, "a long, b long")
 
 
-def _verified(named: DataFrame, rows: DataFrame, words: int, threshold: float) -> DataFrame:
-    """The exact Jaccard index of candidate pairs on their whole texts."""
-    wanted = named.select("kind", F.col("a").alias("key")).union(named.select("kind", F.col("b").alias("key"))).distinct()
-    sides = named.withColumn("pair", F.xxhash64("kind", "a", "b")).select(
-        "kind", F.explode(F.array(F.struct(F.col("a").alias("key"), F.lit(0).alias("side")), F.struct(F.col("b").alias("key"), F.lit(1).alias("side")))).alias("s"), "pair", "a", "b"
-    )
-    sides = sides.select("kind", "s.key", "s.side", "pair", "a", "b")
-    texts = rows.join(wanted, ["kind", "key"], "left_semi")
-    both = texts.join(sides, ["kind", "key"]).select("pair", "side", "kind", "a", "b", "text")
-    both = both.repartition("pair").sortWithinPartitions("pair", "a", "b", "side")
+def _verified(candidates: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """The exact Jaccard index of candidate pairs (a, b), from the shingle sets of the whole texts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[list, list]] = {}
-
-        def judge(done: list[tuple]) -> pa.RecordBatch:
-            texts = [t for k in done for s in held[k] for t in s]
-            shingles, sizes = shingle_sets(texts, words)
-            ends = np.cumsum(sizes)
-            at, out = 0, []
-            for k in done:
-                sets = []
-                for s in held[k]:
-                    sets.append([shingles[ends[i] - sizes[i] : ends[i]] for i in range(at, at + len(s))])
-                    at += len(s)
-                best = 0.0
-                for x in sets[0]:
-                    for y in sets[1]:
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        if both:
-                            best = max(best, both / (len(x) + len(y) - both))
-                if best >= threshold:
-                    out.append((*k[1:], best))
-                del held[k]
-            columns = list(zip(*out)) if out else [(), (), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(columns[i], pa.string()) for i in range(3)] + [pa.array(columns[3], pa.float64())], ["kind", "a", "b", "similarity"])
+    Pairs are gathered around the least class that their ends are candidates with, so the classes of a
+    family of near-equal texts go to one place, each once, not once a pair. A gathering of more than TILE
+    classes, or of more than HELD bytes of sets, is dealt into parts by hash and its pairs to pairs of parts,
+    so what is held at once is bounded.
+    """
+    least = candidates.union(candidates.select("b", "a")).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("home"))
+    home = lambda x: least.select(F.col("a").alias(x), F.col("home").alias(f"home_{x}"))
+    at = materialize(candidates.join(home("a"), "a").join(home("b"), "b").select("a", "b", F.least("home_a", "home_b").alias("home")))
+    ends = at.select("home", F.explode(F.array("a", "b")).alias("id")).distinct()
+    size = signed.select("id", "n").groupBy("id").agg(F.first("n").alias("n"))
+    parts = ends.join(size, "id").groupBy("home").agg(F.greatest(F.ceil(F.sum(F.col("n").cast("long") * 8) / (HELD // 2)), F.ceil(F.count("*") / TILE)).cast("int").alias("parts"))
+    part = lambda x: F.pmod(F.xxhash64(x), F.col("parts")).cast("int")
+    placed = materialize(at.join(parts, "home").select("a", "b", F.xxhash64("home", F.least(part("a"), part("b")), F.greatest(part("a"), part("b"))).alias("place")))
+    wanted = placed.select("place", F.explode(F.array("a", "b")).alias("id")).distinct()
+    # Copies of a class collapse in each task before its set is moved.
+    sets = signed.groupBy("id").agg(F.first("kind").alias("kind"), F.first("shingles").alias("shingles"))
+    held = wanted.join(sets, "id").select("place", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "kind", "shingles")
+    asked = placed.select("place", "a", "b", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("binary").alias("shingles"))
+    both = held.union(asked).repartition("place").sortWithinPartitions("place", F.col("b").asc_nulls_first())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, kinds, known = None, {}, {}
         for batch in batches:
-            for pair, side, kind, a, b, text in zip(*(c.to_pylist() for c in batch.columns)):
-                texts = held.setdefault((pair, kind, a, b), ([], []))[side]
-                if text not in texts:
-                    texts.append(text)
-            last = next(reversed(held), None)
-            done = [k for k in held if k != last]
-            if done:
-                yield judge(done)
-        if held:
-            yield judge(list(held))
+            out: list[tuple[str, int, int, float]] = []
+            places, ids, others = (batch.column(i).to_pylist() for i in range(3))
+            names, shingles = batch.column(3), batch.column(4)
+            for i, (p, a, b) in enumerate(zip(places, ids, others)):
+                if p != place:
+                    place, kinds, known = p, {}, {}
+                if b is None:
+                    kinds[a], known[a] = names[i].as_py(), np.frombuffer(shingles[i].as_py(), _U)
+                    continue
+                x, y = known[a], known[b]
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if shared and shared >= threshold * (len(x) + len(y) - shared):
+                    out.append((kinds[a], a, b, shared / (len(x) + len(y) - shared)))
+            columns = list(zip(*out)) if out else [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.float64())], ["kind", "a", "b", "similarity"])
 
-    return both.mapInArrow(run, "kind string, a string, b string, similarity double")
+    return both.mapInArrow(run, "kind string, a long, b long, similarity double")
 
 
 def close_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """``kind, key_a, key_b`` of all texts whose similarity reaches the threshold.
-
-    Classes of equal sets are expanded. Classes of more than SPELLED_OUT members are not written as all
-    pairs among themselves: each member is paired with the class's least key, and pairs between classes
-    go from least key to least key, so every link is kept without a product of class sizes.
-    """
-    sizes = members.groupBy("kind", "representative").agg(F.count("*").alias("copies"))
-    multiple = sizes.where("copies > 1")
-    of = members.select("kind", "key", "representative").join(multiple, ["kind", "representative"])
-    star = of.where(F.col("key") != F.col("representative")).select("kind", F.col("representative").alias("key_a"), F.col("key").alias("key_b"))
-    spelled = of.where(F.col("copies") <= SPELLED_OUT)
-    inside = (
-        spelled.alias("x").join(spelled.select("kind", "representative", F.col("key").alias("other")).alias("y"), ["kind", "representative"])
-        .where("key < other").select("kind", F.col("key").alias("key_a"), F.col("other").alias("key_b"))
-    )
-    lists = spelled.groupBy("kind", "representative").agg(F.collect_list("key").alias("keys"))
-    side = lambda n: lists.select("kind", F.col("representative").alias(n), F.col("keys").alias(f"keys_{n}"))
-    between = pairs.join(side("a"), ["kind", "a"], "left").join(side("b"), ["kind", "b"], "left")
-    own = lambda n: F.explode(F.coalesce(f"keys_{n}", F.array(n)))
-    between = between.select("kind", own("a").alias("x"), "b", "keys_b").select("kind", "x", own("b").alias("y"))
-    between = between.where("x <> y").select("kind", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
-    return between.union(inside).union(star).distinct()
-
-
-def every_pair(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """``kind, key_a, key_b`` of all texts whose similarity reaches the threshold, copies included.
+    """``kind, key_a < key_b`` of all texts whose similarity reaches the threshold, copies included, each once.
 
-    Like ``close_pairs``, but classes of any size are written as all pairs. Their keys are dealt to blocks
-    of about DEALT by hash; pairs of blocks are joined, so no row or task holds a class.
+    Classes of any size are written as all pairs. Their keys are dealt to blocks of about DEALT by hash;
+    pairs of blocks are joined, so no row or task holds a class. The rows are quadratic in the largest
+    class; ``duplicate_groups`` is the form with one row a text.
     """
-    def dealt(by: str) -> tuple[DataFrame, DataFrame]:
-        sizes = members.groupBy("kind", by).agg(F.count("*").alias("copies")).where("copies > 1")
-        sizes = sizes.select("kind", by, F.ceil(F.col("copies") / DEALT).cast("int").alias("blocks"))
-        block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")
-        blocks = members.join(sizes, ["kind", by]).groupBy("kind", by, "blocks", block).agg(F.collect_list("key").alias("keys"))
-        return sizes, blocks
-
-    _, blocks = dealt("id")
-    left = blocks.select("kind", "id", F.col("block").alias("i"), F.col("keys").alias("xs"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
-    inside = left.join(blocks, ["kind", "id", "block"]).select("i", "block", "kind", F.explode("xs").alias("x"), "keys").select("i", "block", "kind", "x", F.explode("keys").alias("y"))
-    inside = inside.where("i < block OR x < y")
-
-    sizes, blocks = dealt("representative")
-    side = lambda n: sizes.select("kind", F.col("representative").alias(n), F.col("blocks").alias(f"blocks_{n}"))
-    keys = lambda n: blocks.select("kind", F.col("representative").alias(n), F.col("block").alias(f"block_{n}"), F.col("keys").alias(f"keys_{n}"))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(f"blocks_{n}", F.lit(1)) - 1)).alias(f"block_{n}")
-    own = lambda n: F.explode(F.coalesce(f"keys_{n}", F.array(n)))
-    between = pairs.select("kind", "a", "b").join(side("a"), ["kind", "a"], "left").join(side("b"), ["kind", "b"], "left")
-    between = between.select("kind", "a", "b", "blocks_a", "blocks_b", each("a")).select("*", each("b"))
-    between = between.join(keys("a"), ["kind", "a", "block_a"], "left").join(keys("b"), ["kind", "b", "block_b"], "left")
-    # A block may be empty by its hash; a class of one key has no list.
-    between = between.where("(keys_a IS NOT NULL OR blocks_a IS NULL) AND (keys_b IS NOT NULL OR blocks_b IS NULL)")
-    between = between.select("kind", own("a").alias("x"), "b", "keys_b").select("kind", "x", own("b").alias("y")).where("x <> y")
+    sizes = members.groupBy("kind", "id").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")
+    blocks = materialize(members.join(sizes, ["kind", "id"]).groupBy("kind", "id", "blocks", block).agg(F.collect_list("key").alias("keys")))
+    other = lambda n: blocks.select("kind", F.col("id").alias(n), F.col("block").alias(f"block_{n}"), F.col("keys").alias(f"keys_{n}"))
+
+    several = blocks.where((F.col("blocks") > 1) | (F.size("keys") > 1)).withColumnRenamed("block", "i")
+    left = several.select("kind", F.col("id").alias("a"), "i", F.col("keys").alias("xs"), F.explode(F.sequence("i", F.col("blocks") - 1)).alias("block_a"))
+    inside = left.join(other("a"), ["kind", "a", "block_a"]).select("i", "block_a", "kind", F.explode("xs").alias("x"), "keys_a")
+    inside = inside.select("i", "block_a", "kind", "x", F.explode("keys_a").alias("y")).where("i < block_a OR x < y")
+
+    # Of a pair of classes every block of one meets every block of the other; the blocks come by joins.
+    between = pairs.select("kind", "a", "b").join(other("a"), ["kind", "a"]).join(other("b"), ["kind", "b"])
+    between = between.select("kind", F.explode("keys_a").alias("x"), "keys_b").select("kind", "x", F.explode("keys_b").alias("y")).where("x <> y")
     return between.union(inside.select("kind", "x", "y")).select("kind", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """``kind, key, group``: texts linked by ``pairs`` (kind, a, b), each with its group's least key.
+    """``kind, key, group``: classes linked by ``pairs`` (kind, a, b), each with its group's least id.
 
-    Alternating star operations: every key is tied to the least key around it, first its larger
+    Alternating star operations: every id is tied to the least key around it, first its larger
     neighbours, then its smaller ones. No step gathers a group; the links, of which there never are more
     than at the start, are grouped by key with a minimum. It ends after about log of the longest chain.
     """
@@ -448,7 +410,8 @@ def components(pairs: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, ["kind", "u"]).select("kind", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("kind", "u").agg(F.min("v").alias("m"))
         small = large.join(low, ["kind", "u"]).select("kind", F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        links = materialize(small.select("kind", "x.u", "x.v").where("u <> v").distinct())
+        last, links = links, materialize(small.select("kind", "x.u", "x.v").where("u <> v").distinct())
+        release(last)
         state = links.agg(F.count("*"), F.sum(F.xxhash64("kind", "u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -459,16 +422,20 @@ def components(pairs: DataFrame) -> DataFrame:
 def duplicate_groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """One row per text that has a class: ``kind, key, representative, group, links``.
 
-    ``group`` is the least representative of its connected classes, ``links`` the number of other texts
-    that are close to it: copies of its own class and all members of linked classes.
+    ``group`` is the least key of the connected classes, ``links`` the number of texts that are close to
+    it: the copies of its own class and all members of linked classes. A key with several texts has a row
+    for each of their classes.
     """
-    sizes = members.groupBy("kind", "representative").agg(F.count("*").alias("copies"))
-    ends = pairs.select("kind", "a", "b").union(pairs.select("kind", F.col("b").alias("a"), F.col("a").alias("b")))
-    around = ends.join(sizes, (ends["kind"] == sizes["kind"]) & (ends["b"] == sizes["representative"])).groupBy(ends["kind"], F.col("a").alias("representative")).agg(F.sum("copies").alias("near"))
-    groups = components(pairs).withColumnRenamed("key", "representative")
-    per_class = sizes.join(around, ["kind", "representative"], "left").join(groups, ["kind", "representative"], "left")
-    per_class = per_class.select("kind", "representative", F.coalesce("group", "representative").alias("group"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
-    return members.select("kind", "key", "representative").join(per_class, ["kind", "representative"])
+    pairs = materialize(pairs.select("kind", "a", "b"))
+    classes = members.groupBy("kind", "id").agg(F.min("key").alias("representative"), F.count("*").alias("copies"))
+    ends = pairs.union(pairs.select("kind", F.col("b").alias("a"), F.col("a").alias("b")))
+    copies = classes.select("kind", F.col("id").alias("b"), "copies")
+    around = ends.join(copies, ["kind", "b"]).groupBy("kind", F.col("a").alias("id")).agg(F.sum("copies").alias("near"))
+    of = components(pairs).select("kind", F.col("key").alias("id"), F.col("group").alias("component"))
+    per_class = classes.join(around, ["kind", "id"], "left").join(of, ["kind", "id"], "left").withColumn("component", F.coalesce("component", "id"))
+    names = per_class.groupBy("kind", "component").agg(F.min("representative").alias("group"))
+    per_class = per_class.join(names, ["kind", "component"]).select("kind", "id", "representative", "group", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    return members.join(per_class, ["kind", "id"]).select("kind", "key", "representative", "group", "links")
 
 
 def evidence_texts(chunks: DataFrame, risks: DataFrame) -> DataFrame:

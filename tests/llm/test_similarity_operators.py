@@ -63,13 +63,36 @@ def test_kinds_are_apart(spark):
     assert nd.close_pairs(*nd.near_duplicates(df, words=3, threshold=0.6)).count() == 0
 
 
-def test_many_copies_are_a_star(spark):
-    n = nd.SPELLED_OUT + 10
-    rows = [(f"k{i:03d}", "the same words all over again") for i in range(n)]
-    got = {(r.key_a, r.key_b) for r in nd.close_pairs(*found(spark, rows, 3, 0.6)).collect()}
-    assert got == {("k000", f"k{i:03d}") for i in range(1, n)}
-    groups = nd.duplicate_groups(*found(spark, rows, 3, 0.6)).collect()
-    assert {r.group for r in groups} == {"k000"} and {r.links for r in groups} == {n - 1}
+def test_repeated_keys_with_differing_texts_join_no_classes(spark):
+    r = random.Random(5)
+    one, two = (" ".join(r.choice(WORDS) for _ in range(60)) for _ in range(2))
+    rows = [("a", one), ("a", two), ("x", one), ("y", two)]
+    pairs, members = found(spark, rows, 3, 0.6)
+    assert {(p.key_a, p.key_b) for p in nd.close_pairs(pairs, members).collect()} == {("a", "x"), ("a", "y")}
+    assert sorted((g.key, g.group, g.links) for g in nd.duplicate_groups(pairs, members).collect()) == [("a", "a", 1), ("a", "a", 1), ("x", "a", 1), ("y", "a", 1)]
+    # Keys repeat at random over near texts: a pair is close if any two of their texts are.
+    texts = corpus(6)
+    rows = [(f"k{r.randrange(60):02d}", t) for _, t in texts]
+    sets = [(k, shingles(t, 3)) for k, t in rows]
+    want = {tuple(sorted((k, q))) for k, s in sets for q, u in sets if k != q and len(s & u) >= 0.6 * len(s | u)}
+    got = [(p.key_a, p.key_b) for p in nd.close_pairs(*found(spark, rows, 3, 0.6)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_many_copies(spark):
+    rows = [(f"k{i:03d}", "the same words all over again") for i in range(60)]
+    pairs, members = found(spark, rows, 3, 0.6)
+    assert nd.close_pairs(pairs, members).count() == 60 * 59 // 2
+    groups = nd.duplicate_groups(pairs, members).collect()
+    assert {g.group for g in groups} == {"k000"} and {g.links for g in groups} == {59}
+
+
+def test_candidates_are_checked_in_parts(spark, monkeypatch):
+    """A family whose sets do not fit one place."""
+    monkeypatch.setattr(nd, "HELD", 4_096)
+    rows = corpus(8, 15)
+    got = {(x.key_a, x.key_b) for x in nd.close_pairs(*found(spark, rows, 3, 0.6)).collect()}
+    assert got == brute(rows, 3, 0.6)
 
 
 def test_found_pairs_of_large_classes_are_all_there(spark, monkeypatch, tmp_path):
@@ -78,8 +101,8 @@ def test_found_pairs_of_large_classes_are_all_there(spark, monkeypatch, tmp_path
     r = random.Random(9)
     base = [r.choice(WORDS) for _ in range(60)]
     near = [*base[:-2], "other", "end"]
-    rows = [(f"k{i:03d}", " ".join(w if i % 3 else w.upper() for w in base)) for i in range(nd.SPELLED_OUT + 20)]
-    rows += [(f"l{i:03d}", ", ".join(near)) for i in range(nd.SPELLED_OUT + 10)] + corpus(4, 10)
+    rows = [(f"k{i:03d}", " ".join(w if i % 3 else w.upper() for w in base)) for i in range(70)]
+    rows += [(f"l{i:03d}", ", ".join(near)) for i in range(60)] + corpus(4, 10)
     spark.createDataFrame(rows, "chunk_id string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
     spark.createDataFrame([], "risk_id string, evidence_quote string").write.parquet(f"{tmp_path}/risk_factors.parquet")
     got = [(x.key_a, x.key_b) for x in queries.p5_found(spark, str(tmp_path)).collect()]
@@ -125,6 +148,8 @@ def test_tile_pairs_skip_by_size():
     left, right = nd.tile_pairs(n, fp, n, fp, 0.6, True)
     assert list(zip(left, right)) == [(0, 1)]
     assert len(nd.tile_pairs(n[:2], fp[:2], n[2:], fp[2:], 0.6, False)[0]) == 0
+    full = np.full((3, 3), 2**64 - 1, np.uint64)  # population counts of 0 and 192
+    assert len(nd.tile_pairs(n[:2], fp[:2], n[:2], full[:2], 0.6, False)[0]) == 0
 
 
 def vectors(seed, n=600, dims=128, centres=40):
