@@ -3,9 +3,12 @@
 Spelling variants share most of the letter pairs of their words. So the words of all distinct mentions
 and the words of the dictionary are sets of q-grams, and a prefix-filtered set-similarity join finds the
 pairs of words that look alike: of two sets with a Jaccard index of t or more, the rarest few grams of
-both must meet, and only those are joined. A mention is then compared with those organisations of which
+both must meet, and only those are compared. A mention is then compared with those organisations of which
 it holds a similar word, by soft weighted word similarity: words are aligned one to one, similar words
 count by their similarity, and each word weighs the more the rarer it is in the dictionary.
+
+The dictionary is a list of bounded size, so its index of prefixes goes to the tasks, and the mentions'
+words are looked up where they are: no gram is shuffled, and none is a hot key.
 """
 
 from __future__ import annotations
@@ -14,20 +17,20 @@ import functools
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
-
-from evistrata.session import materialize
+from pyspark.sql import DataFrame, functions as F
 
 Q = 2
 #: Jaccard index of the padded q-gram sets from which two words are compared further.
 ALIKE = 0.25
 #: The same for words written apart or together, which must be closer; single words from LONG letters on may be such.
 ALIKE_JOINED, LONG = 0.4, 10
-#: Letters by which two words may differ in length: more edits are never accepted, and look-alikes save two at most.
-LONGER = 5
+#: Words whose look-alikes a worker remembers.
+REMEMBERED = 200_000
 #: Score from which a mention is linked, and the lead over the next organisation.
 ACCEPT, LEAD = 0.86, 0.02
 #: A dictionary word of so many organisations is a common one, which may be abbreviated.
@@ -91,6 +94,7 @@ def readings(name: str) -> list[list[str]]:
     return [w for i, w in enumerate(found) if w and w not in found[:i]]
 
 
+@functools.lru_cache(REMEMBERED)
 def sight(word: str) -> str:
     """A word as the eye may read it: look-alike letters and digits made one."""
     for a, b in (("0", "o"), ("1", "l"), ("5", "s"), ("rn", "m"), ("vv", "w"), ("cl", "d")):
@@ -103,10 +107,23 @@ def grams(word: str) -> list[str]:
     return sorted({padded[i : i + Q] for i in range(len(padded) - Q + 1)})
 
 
+@functools.lru_cache(REMEMBERED)
+def letters(word: str) -> int:
+    """The letters of a word as bits; letters that share a bit count as the same."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
 def edits(a: str, b: str, most: int) -> int:
     """Optimal string alignment distance, or ``most + 1`` if it is larger."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    # An edit brings in, or takes away, one letter at most.
+    x, y = letters(a), letters(b)
+    if (x & ~y).bit_count() > most or (y & ~x).bit_count() > most:
+        return most + 1
     before, row = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         older, before, row = before, row, [i]
@@ -149,7 +166,7 @@ def word_similarity(typed: str, known: str, common: bool) -> float:
     if d <= most:
         return 1 - 0.6 * d / n if d < 3 else 1 - 0.8 * d / n
     if common and len(typed) >= 5 and typed[0] == known[0]:  # an abbreviation with a slip
-        for k in range(4, len(known)):
+        for k in range(max(4, len(typed) - 1), min(len(known), len(typed) + 2)):
             if edits(typed, known[:k], 1) <= 1:
                 return 0.85
     return 0.0
@@ -166,7 +183,7 @@ class Dictionary:
         for entity, name, aliases in rows:
             for text in [name, *(aliases or [])]:
                 if text and text.strip():
-                    self.texts[text.strip().lower()].add(entity)
+                    self.texts[trimmed(text)].add(entity)
                     words = tuple(plain_words(text))
                     self.forms[words].add(entity)
                     known[entity].update(words)
@@ -191,9 +208,18 @@ class Dictionary:
                 self.by_word[w].append(form)
         self.joined = {"".join(f): f for f in self.forms}
 
-    def words(self) -> set[str]:
-        """What mentions' words are compared with: the words that lead to forms, and whole forms joined."""
-        return set(self.by_word) | {j for j, f in self.joined.items() if len(f) > 1}
+        self.alone = Lookup(sorted(self.by_word), ALIKE)
+        self.any = Lookup(sorted(set(self.by_word) | {j for j, f in self.joined.items() if len(f) > 1}), ALIKE_JOINED)
+        self.near = functools.lru_cache(REMEMBERED)(self._near)
+
+    def _near(self, unit: str, single: bool) -> frozenset[str]:
+        """Dictionary words, and joined forms, that look like a word or joined words of a mention."""
+        found = set(self.alone.similar(unit)) if single else set()
+        if not single or len(unit) >= LONG:
+            found.update(self.any.similar(unit))
+        if unit in self.any.place:
+            found.add(unit)
+        return frozenset(found)
 
     def score(self, typed: list[str], form: tuple[str, ...]) -> float:
         """Soft weighted similarity of a typed word list and a known form."""
@@ -224,10 +250,9 @@ class Dictionary:
         total = gained + lost + max(missing, foreign) + 0.5 * min(missing, foreign)
         return gained / total if total else 0.0
 
-    def link(self, text: str, similar: dict[str, list[str]]) -> int | None:
-        """The organisation a mention names, or None; ``similar`` has the dictionary words like its own."""
-        bare = text.strip().lower()
-        exact = self.texts.get(bare)
+    def link(self, text: str) -> int | None:
+        """The organisation a mention names, or None."""
+        exact = self.texts.get(trimmed(text))
         if exact and len(exact) == 1:
             return next(iter(exact))
         best: dict[int, float] = {}
@@ -238,19 +263,19 @@ class Dictionary:
             if same and len(same) == 1:
                 return next(iter(same))
             forms: set[tuple[str, ...]] = set()
-            for unit in units(reading):
-                for known in similar.get(unit, ()):
+            for unit, single in units(reading):
+                for known in self.near(unit, single):
                     forms.update(self.by_word.get(known, ()))
                     if known in self.joined:
                         forms.add(self.joined[known])
-            whole = "".join(reading)
+            whole = sight("".join(reading))
             for form in forms:
                 if len(form) == 1 and len(form[0]) <= 4:
                     continue  # initials are taken as they stand or not at all
                 s = self.score(reading, form)
                 flat = "".join(form)
                 if s < ACCEPT and len(flat) >= 8 and len(form) > 1:
-                    d = edits(sight(whole), sight(flat), len(flat) // 7)
+                    d = edits(whole, sight(flat), len(flat) // 7)
                     if d <= len(flat) // 7:
                         s = max(s, 1 - d / len(flat))
                 for e in self.forms[form]:
@@ -263,9 +288,59 @@ class Dictionary:
         return ranked[0][1]
 
 
-def units(words: list[str]) -> set[str]:
-    """What of a name is compared with dictionary words: words, neighbours joined, and the whole joined."""
-    return {*words, *(a + b for a, b in zip(words, words[1:])), "".join(words)}
+class Lookup:
+    """Known words by q-grams: those whose sets have a Jaccard index of ``least`` or more with that of a word.
+
+    A prefix-filtered set-similarity join with a list of bounded size. Grams are ordered from rare to frequent
+    by their count among the known words, then by text; of a set of n grams the first n - ceil(least * n) + 1
+    are its prefix, and sets that are similar enough share a gram of their prefixes. Only words that do, and
+    whose sizes allow the index, are compared.
+    """
+
+    def __init__(self, known: list[str], least: float):
+        self.known, self.least = known, least
+        self.place = {w: i for i, w in enumerate(known)}
+        sets = [grams(sight(w)) for w in known]
+        self.counts = Counter(g for s in sets for g in s)
+        self.code = {g: i for i, g in enumerate(sorted(self.counts, key=lambda g: (self.counts[g], g)))}
+        self.sizes = np.array([len(s) for s in sets], np.int32)
+        coded = [sorted(self.code[g] for g in s) for s in sets]
+        first: list[list[int]] = [[] for _ in self.code]
+        for i, s in enumerate(coded):
+            for g in s[: self._prefix(len(s))]:
+                first[g].append(i)
+        self.first = [np.array(x, np.int32) for x in first]
+        # The grams of each word in a row, filled up with a code that no gram has.
+        self.rows = np.full((len(known), max(map(len, sets), default=1)), len(self.code), np.int32)
+        for i, s in enumerate(coded):
+            self.rows[i, : len(s)] = s
+
+    def _prefix(self, n: int) -> int:
+        return n - math.ceil(self.least * n - 1e-9) + 1
+
+    def similar(self, word: str) -> list[str]:
+        mine = grams(sight(word))
+        n = len(mine)
+        coded = sorted(self.code[g] for g in mine if g in self.code)
+        # Grams that no known word has are the rarest: they come first in the prefix and meet nothing.
+        ahead = self._prefix(n) - (n - len(coded))
+        if ahead <= 0:
+            return []
+        met = np.unique(np.concatenate([self.first[g] for g in coded[:ahead]]))
+        met = met[(self.sizes[met] >= self.least * n - 1e-9) & (n >= self.least * self.sizes[met] - 1e-9)]
+        if not len(met):
+            return []
+        mine_coded = np.zeros(len(self.code) + 1, bool)
+        mine_coded[coded] = True
+        shared = mine_coded[self.rows[met]].sum(1)
+        good = shared >= self.least * (n + self.sizes[met] - shared) - 1e-9
+        return [self.known[i] for i in met[good]]
+
+
+def units(words: list[str]) -> set[tuple[str, bool]]:
+    """What of a name is compared with dictionary words: single words (True), neighbours joined, and the whole joined."""
+    joined = {*(a + b for a, b in zip(words, words[1:])), "".join(words)} - set(words)
+    return {(w, single) for found, single in ((words, True), (joined, False)) for w in found if len(w) > 1}
 
 
 def dictionary_rows(entities: DataFrame) -> list[tuple[int, str, list[str]]]:
@@ -287,114 +362,45 @@ def mentions(extractions: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("joined", T.BooleanType())])))
-def _units(texts: pd.Series) -> pd.Series:
-    def of(text: str) -> list[tuple[str, bool]]:
-        single = {w for r in readings(text) for w in r}
-        every = {u for r in readings(text) for u in units(r)}
-        found = [(w, False) for w in single] + [(u, True) for u in every if u not in single or len(u) >= LONG]
-        return sorted(x for x in found if 1 < len(x[0]) <= 80)
-
-    return texts.map(lambda t: [{"word": w, "joined": j} for w, j in of(t)])
-
-
-def similar_words(words: DataFrame, known: list[str], *, least: float = ALIKE) -> DataFrame:
-    """Pairs (``word``, ``known``) whose q-gram sets have a Jaccard index of ``least`` or more.
-
-    A prefix-filtered set-similarity join. Grams are ordered from rare to frequent by their count among
-    the known words, a list of bounded size, then by text; of a set of n grams the first
-    n - ceil(least * n) + 1 are its prefix, and sets that are similar enough share a gram of their
-    prefixes. Sizes bound the index before it is computed, and words whose lengths differ by more than
-    LONGER letters, which no number of accepted edits joins, are left out. Every pair comes out once.
-    """
-    counts = Counter(g for w in known for g in grams(sight(w)))
-    rank = lambda w: sorted(grams(sight(w)), key=lambda g: (counts[g], g))
-    ranked = F.pandas_udf(lambda column: column.map(rank), T.ArrayType(T.StringType()))
-    spark = words.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    a = words.select(F.col(words.columns[0]).alias("word")).distinct().repartition(tasks, "word").select("word", ranked("word").alias("a"))
-    b = spark.createDataFrame([(w, rank(w)) for w in known], "known string, b array<string>")
-
-    def prefixed(df: DataFrame, column: str) -> DataFrame:
-        size = F.size(column)
-        return df.withColumn("g", F.explode(F.slice(column, 1, (size - F.ceil(size * F.lit(least)) + 1).cast("int"))))
-
-    na, nb = F.size("a"), F.size("b")
-    met = prefixed(a, "a").join(prefixed(b, "b"), "g").where((na >= least * nb) & (nb >= least * na) & (F.abs(F.length("word") - F.length("known")) <= LONGER))
-    both = F.array_intersect("a", "b")
-    shared = F.size(both)
-    # Of the grams that a pair shares in its prefixes, the first in order names it: each pair is kept once.
-    return met.where((F.get(both, 0) == F.col("g")) & (shared >= least * (na + nb - shared))).select("word", "known")
-
-
 def link_names(names: DataFrame, entities: DataFrame, *, text: str = "text") -> DataFrame:
-    """The distinct texts of ``names`` with the ``entity_id`` of the organisation each names, or null.
+    """The distinct texts of ``names``: the ``entity_id`` of the organisation each names or null, and whether
+    the text, trimmed and lower-cased, is a name or alias as it stands (``is_exact``).
 
     Defined cases: null and blank texts, and self-references, name none; a text that fits two
     organisations equally well names none; an alias given to two organisations decides nothing by itself;
-    an empty dictionary links nothing. Very long texts are compared whole, but no word or joined words of
-    over 80 letters are looked up.
+    an empty dictionary links nothing. Very long texts and words are compared whole.
     """
-    rows = dictionary_rows(entities)
     spark = names.sparkSession
-    dictionary = Dictionary(rows)
-    distinct = names.where(F.trim(F.col(text)) != "").select(F.col(text).alias("text")).distinct()
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = distinct.repartition(tasks, "text").select("text", F.explode(_units("text")).alias("u")).select("text", "u.*")
-    words = materialize(words)
-    alone, forms = sorted(dictionary.by_word), sorted(dictionary.words())
-    as_is = words.select("word").distinct().join(spark.createDataFrame([(w,) for w in forms], "known string"), F.col("word") == F.col("known"), "left_semi")
-    # A word that is in the dictionary stands for itself; only others are looked for among similar ones.
-    other = words.join(as_is, "word", "left_anti")
-    pairs = (
-        similar_words(other.where("NOT joined").select("word"), alone)
-        .union(similar_words(other.where("joined").select("word"), forms, least=ALIKE_JOINED))
-        .union(as_is.select("word", F.col("word").alias("known")))
-        .distinct()
-    )
-    # A text has few words, so its list of similar words is short.
-    found = words.select("text", "word").distinct().join(pairs, "word").groupBy("text").agg(F.collect_list(F.struct("word", "known")).alias("near"))
+    shipped, token = spark.sparkContext.broadcast(dictionary_rows(entities)), uuid.uuid4().hex
     # Few bytes, much thought: a set number of tasks keeps adaptive execution from packing them into one.
-    texts = distinct.join(found, "text", "left").repartition(tasks, "text")
-
-    shipped = spark.sparkContext.broadcast(rows)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    distinct = names.where(F.trim(F.col(text)) != "").select(F.col(text).alias("text")).distinct().repartition(tasks, "text")
 
-    @F.pandas_udf(T.LongType())
-    def link(values: pd.Series, near: pd.Series) -> pd.Series:
-        known = _dictionary(shipped.value)
-        out = []
-        for value, pairs in zip(values, near):
-            similar: dict[str, list[str]] = defaultdict(list)
-            for p in [] if pairs is None else pairs:
-                similar[p["word"]].append(p["known"])
-            out.append(known.link(value, similar))
-        return pd.Series(out, dtype="Int64")
+    @F.pandas_udf("entity_id long, is_exact boolean")
+    def link(values: pd.Series) -> pd.DataFrame:
+        known = _dictionary(token, shipped)
+        return pd.DataFrame({"entity_id": pd.Series([known.link(v) for v in values], dtype="Int64"), "is_exact": [trimmed(v) in known.texts for v in values]})
 
-    return texts.select("text", link("text", "near").alias("entity_id"))
+    return distinct.select("text", link("text").alias("x")).select("text", "x.entity_id", "x.is_exact")
 
 
-_built: dict[int, Dictionary] = {}
+_built: dict[str, Dictionary] = {}
 
 
-def _dictionary(rows) -> Dictionary:
-    if id(rows) not in _built:
+def _dictionary(token: str, shipped) -> Dictionary:
+    """The worker's dictionary for a call of ``link_names``; one is kept."""
+    if token not in _built:
         _built.clear()
-        _built[id(rows)] = Dictionary(rows)
-    return _built[id(rows)]
+        _built[token] = Dictionary(shipped.value)
+    return _built[token]
 
 
 def linked_mentions(extractions: DataFrame, entities: DataFrame) -> DataFrame:
     """Every mention with its text, the ``entity_id`` it names or null, and whether its trimmed and
     lower-cased text is a name or alias as it stands (``is_exact``). Repeated records count."""
     all_mentions = mentions(extractions)
-    links = link_names(all_mentions, entities)
-    exact = (
-        entities.select(F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("t"))
-        .select(trimmed(F.col("t")).alias("bare")).where("bare IS NOT NULL").distinct().withColumn("is_exact", F.lit(True))
-    )
-    links = links.withColumn("bare", trimmed(F.col("text"))).join(exact, "bare", "left").select("text", "entity_id", F.coalesce("is_exact", F.lit(False)).alias("is_exact"))
-    return all_mentions.join(links, "text", "left")
+    return all_mentions.join(link_names(all_mentions, entities), "text", "left")
 
 
-def trimmed(value: Column) -> Column:
-    return F.lower(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""))
+def trimmed(text: str) -> str:
+    return text.strip().lower()

@@ -91,6 +91,59 @@ def test_copies_and_masked_ends_do_not_hide_cuts(spark):
     assert not cut & {*range(100, 106), 111, 701, 702, 703}
 
 
+HEADINGS = ["Risk factors", "Results of operations", "Liquidity and capital", "Notes to the accounts"]
+SUBJECTS, VERBS = ["The quarter", "Our plant", "Revenue of the segment", "A new supplier", "The customer"], ["was delayed by", "depends on", "fell because of", "is limited to", "was raised for"]
+OBJECTS = ["weeks of transit", "orders from the north", "a warranty claim", "the price of copper", "export licences"]
+
+
+def reports(n, seed, start=0):
+    """Texts of headings and sentences, of which some end with a heading and a few stop anywhere; with the true ones."""
+    r, rows, cut = random.Random(seed), [], set()
+    for i in range(start, start + n):
+        text = "\n\n".join(
+            r.choice(HEADINGS) + "\n" + " ".join(f"{r.choice(SUBJECTS)} {r.choice(VERBS)} {r.choice(OBJECTS)} in {r.randrange(2001, 2025)}." for _ in range(r.randrange(1, 5))) for _ in range(r.randrange(2, 5))
+        )
+        if i % 10 == 0:
+            text += "\n\n" + r.choice(HEADINGS)
+        elif i % 17 == 0:
+            # Inside a word of a sentence.
+            places = [k for k in range(60, len(text) - 1) if text[k - 1].islower() and text[k].islower() and text[text.rfind("\n", 0, k) + 1 :].split("\n")[0] not in HEADINGS]
+            text = text[: r.choice(places)]
+            cut.add(i)
+        rows.append((i, "reports", text))
+    return rows, cut
+
+
+def judged(spark, rows):
+    found = truncation.truncations(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert all(x.is_cut == (x.at_limit or x.in_transfer) and not (x.at_limit and x.in_transfer) for x in found)
+    return {x.doc_id: x for x in found}
+
+
+def test_verdicts_do_not_hang_on_the_size_of_the_corpus(spark):
+    rows, cut = reports(400, 1)
+    more, more_cut = reports(3_600, 2, 1_000)
+    few, many = judged(spark, rows), judged(spark, rows + more)
+    assert {i for i in range(400) if few[i].is_cut} == {i for i in range(400) if many[i].is_cut} == cut
+    assert {i for i, x in many.items() if x.is_cut} == cut | more_cut
+
+
+def test_cuts_at_a_limit_and_lines_seen_once(spark):
+    rows, _ = reports(400, 3)
+    fit = lambda i, n: f"Report {i} is about the plant. " + "Our plant depends on copper. " * n
+    rows += [(2_000 + i, "feed", fit(i, 40)[: 500]) for i in range(60)]  # at the limit, cut inside a sentence
+    rows += [(3_000 + i, "feed", fit(i, 5 + i % 10).strip()) for i in range(200)]
+    last = "\nThe customer de"
+    cut_line = [(4_000 + i, "feed", fit(i, 40)[: 500 - len(last)] + last) for i in range(3)]  # the same cut line in three texts at the limit
+    copies = [(4_010 + i, "feed", cut_line[0][2]) for i in range(3)]  # and one of them stored three times more
+    whole = [(4_100, "feed", fit(9, 40)[: 499] + "."), (4_101, "reports", "The customer depends on a warranty claim.\n\nGovernance matters"), (4_102, "reports", "Our plant is limited to export licences.\n\nZymurgy")]
+    found = judged(spark, rows + cut_line + copies + whole)
+    assert all(found[i].at_limit for i in [*range(2_000, 2_060), *range(4_000, 4_003), *range(4_010, 4_013)])
+    assert not any(found[i].is_cut for i in [*range(3_000, 3_200), 4_100, 4_101, 4_102])
+    report = {x.source: x for x in truncation.truncation_report(spark.createDataFrame(rows + copies, "doc_id long, source string, text string")).collect()}
+    assert report["feed"].cut_at_limit == report["feed"].cut == 63 and report["feed"].cut_at_limit_share == pytest.approx(63 / 263) and report["reports"].cut_at_limit == 0
+
+
 def test_length_limits(spark):
     r = random.Random(1)
     rows = [("a", "chars", min(512, 300 + int(r.expovariate(1 / 150)))) for _ in range(2000)] + [("b", "chars", 300 + int(r.expovariate(1 / 150))) for _ in range(2000)]
@@ -131,14 +184,23 @@ def test_mentions_and_exact(spark, entities):
     assert len(found) == 4
 
 
-def test_similar_words_equals_all_pairs(spark):
+@pytest.mark.parametrize("least", [0.25, 0.4, 0.8])
+def test_similar_words_equals_all_pairs(least):
     r = random.Random(4)
-    draw = lambda: "".join(r.choice("abcdef") for _ in range(r.randrange(3, 9)))
-    left, right = sorted({draw() for _ in range(60)}), sorted({draw() for _ in range(60)})
-    got = {(x.word, x.known) for x in names.similar_words(spark.createDataFrame([(w,) for w in left], "w string"), right).collect()}
+    draw = lambda: "".join(r.choice("abcdef") for _ in range(r.randrange(1, 12)))
+    left, right = sorted({draw() for _ in range(200)} | {"zz", "x" * 500}), sorted({draw() for _ in range(200)})
+    lookup = names.Lookup(right, least)
+    got = {(w, k) for w in left for k in lookup.similar(w)}
     sets = {w: set(names.grams(names.sight(w))) for w in left + right}
-    want = {(a, b) for a in left for b in right if len(sets[a] & sets[b]) >= names.ALIKE * len(sets[a] | sets[b])}
-    assert got == want
+    want = {(a, b) for a in left for b in right if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9}
+    assert got == want and names.Lookup([], least).similar("abc") == []
+
+
+def test_words_of_other_organisations_are_compared_too(spark):
+    """A typo that happens to be another organisation's word still leads to the right one."""
+    known = [(1, "Marelund Optics Networks", []), (2, "Marolund Storage Devices", []), *[(10 + i, f"{h} {t}", []) for i, (h, t) in enumerate((h, t) for h in ("Abcorvim", "Dextrolus", "Munhygs") for t in ("Optics Networks", "Storage Devices"))]]
+    found = names.link_names(spark.createDataFrame([("Marolund Optics Networks",), ("y" * 300,)], "text string"), spark.createDataFrame(known, "entity_id long, name string, aliases array<string>"))
+    assert {r.text[:8]: r.entity_id for r in found.collect()} == {"Marolund": 1, "yyyyyyyy": None}
 
 
 def test_edits():
