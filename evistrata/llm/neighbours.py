@@ -1,11 +1,13 @@
 """The most similar vectors of every vector (problem 4).
 
-A hierarchical k-means tree is fitted on a bounded sample and shipped to the tasks. Every distinct vector
-is stored in the leaf it descends to, and asks in the leaves that a best-bin-first traversal visits: a
-priority queue holds the nodes seen so far by similarity of their centres, the best is opened first. How
-many leaves are visited is calibrated: for a sample of queries the true neighbours are found by brute
-force over the whole collection, and the visits are widened until enough of them are met. Vectors are
-compared leaf by leaf in matrix products; exact copies are one vector to the tree and are expanded after.
+A hierarchical k-means tree is fitted on a bounded sample and shipped to the tasks; collections that need
+more leaves than the sample can tell apart get a second level, fitted below each leaf by a task of its own.
+Every distinct vector is stored in the leaf it descends to, and asks in the leaves that a best-bin-first
+traversal visits: a priority queue holds the nodes seen so far by similarity of their centres, the best is
+opened first. How many leaves are visited is calibrated: for queries on which the tree was not fitted the
+true neighbours are found by brute force over the whole collection, and the visits are widened until enough
+of them are met, up to all leaves, which is brute force leaf by leaf. Vectors are compared leaf by leaf in
+matrix products; exact copies are one vector to the tree and are expanded after.
 """
 
 from __future__ import annotations
@@ -21,14 +23,18 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from evistrata.session import materialize
 
-#: Bounds of what the driver ever holds: vectors to fit the tree on, and queries to calibrate with.
-SAMPLE, CALIBRATION = 65_536, 1_024
-#: Vectors a leaf is meant to hold, children of an inner node, and vectors of a leaf per task.
-LEAF, BRANCH, BLOCK = 3_000, 8, 4_096
+#: Bounds of what the driver ever holds: vectors to fit the upper tree on, queries to calibrate with, and leaves.
+SAMPLE, CALIBRATION, LEAVES = 65_536, 1_024, 65_536
+#: Vectors a leaf is meant to hold, children of an inner node, and sampled vectors a leaf is fitted on at least.
+LEAF, BRANCH, FITTED = 6_000, 8, 16
+#: Vectors of a leaf, and questions to a leaf, per task.
+BLOCK, ASKED = 16_384, 65_536
 #: Share of true neighbours that the visited leaves must hold, and the widest search that is calibrated first.
 RECALL, WIDEST = 0.997, 64
 #: Leaves that a traversal opens before it settles on the best of them.
 LOOKED, WIDER = 16, 2
+#: Similarities so near to the limit are computed again in double precision.
+MARGIN = 1e-5
 
 
 @dataclass
@@ -49,12 +55,15 @@ class Tree:
         most = min(most, self.leaves)
         if self.leaves == 1:
             return np.zeros((len(vectors), 1), np.int32)
+        step = max(64, (1 << 24) // len(self.centres))
+        if len(vectors) > step:
+            return np.concatenate([self.visits(vectors[i : i + step], most) for i in range(0, len(vectors), step)])
         opened = min(self.leaves, max(LOOKED, WIDER * most))
         nodes = np.zeros((len(vectors), opened), np.int32)
         similar = vectors @ self.centres.T
         children = self.children
         for i, row in enumerate(-similar):
-            near = row.tolist()
+            near = row.tolist() if len(row) < 4_096 else row
             queue = [(near[c], c) for c in children[0]]
             heapq.heapify(queue)
             n = 0
@@ -90,7 +99,7 @@ def grow(sample: np.ndarray, rows: int, *, leaf: int = LEAF, branch: int = BRANC
     todo = [(0, np.arange(len(sample)))]
     while todo:
         node, members = todo.pop()
-        k = min(branch, int(np.ceil(len(members) * share / leaf)), len(members) // 16)
+        k = min(branch, int(np.ceil(len(members) * share / leaf)), len(members) // FITTED)
         if k < 2:
             continue
         found, own = _centres(sample[members], k, rng)
@@ -101,10 +110,57 @@ def grow(sample: np.ndarray, rows: int, *, leaf: int = LEAF, branch: int = BRANC
             mine = members[own == j]
             if len(mine) < len(members):
                 todo.append((children[node][-1], mine))
+    return _numbered(np.stack(centres), children)
+
+
+def _numbered(centres: np.ndarray, children: list[list[int]]) -> Tree:
     number = np.full(len(centres), -1, np.int32)
     ends = [i for i, c in enumerate(children) if not c]
     number[ends] = np.arange(len(ends))
-    return Tree(np.stack(centres).astype(np.float32), children, number, len(ends))
+    return Tree(centres.astype(np.float32), children, number, len(ends))
+
+
+def deepen(tree: Tree, distinct: DataFrame, rows: int, dims: int, leaf: int) -> Tree:
+    """The tree with each leaf split further, where its sample could not tell as many leaves apart as needed.
+
+    A second, larger sample is drawn by hash and split below each leaf by a task; the driver gets centres
+    only, of LEAVES leaves at most. Beyond about LEAVES * ``leaf`` vectors leaves grow with the collection.
+    """
+    wanted = min(LEAVES, int(np.ceil(rows / leaf)))
+    if wanted <= tree.leaves * 2:
+        return tree
+    size = max(leaf, rows // wanted)
+    share = min(1.0, 2 * FITTED * wanted / rows)
+    shipped = distinct.sparkSession.sparkContext.broadcast(tree)
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2_048):
+                part = batch.slice(start, 2_048)
+                home = shipped.value.visits(_matrix(part.column(1), dims), 1)[:, 0]
+                yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), part.column(1)], ["leaf", "v"])
+
+    def split(group: pa.Table) -> pa.Table:
+        members = _matrix(group["v"].combine_chunks(), dims)
+        k = min(int(np.ceil(len(members) / share / size)), len(members) // FITTED)
+        found = _centres(members, k, np.random.default_rng(7))[0] if k > 1 else members[:0]
+        return pa.table({"leaf": pa.array([group["leaf"][0].as_py()] * len(found), pa.int32()), "centre": pa.array([c.tobytes() for c in found.astype("<f4")], pa.binary())})
+
+    drawn = distinct.where(_drawn("deeper", share)).select("id", "v").mapInArrow(descend, "leaf int, v binary")
+    below = drawn.groupBy("leaf").applyInArrow(split, "leaf int, centre binary").toArrow()
+    if not below.num_rows:
+        return tree
+    nodes = {int(n): i for i, n in enumerate(tree.leaf) if n >= 0}
+    found = _matrix(below["centre"].combine_chunks(), dims)
+    children = [list(c) for c in tree.children] + [[] for _ in found]
+    for i, n in enumerate(below["leaf"].to_pylist()):
+        children[nodes[n]].append(len(tree.centres) + i)
+    return _numbered(np.concatenate([tree.centres, found]), children)
+
+
+def _drawn(purpose: str, share: float):
+    """Whether a row is in a sample by its id's hash; the same rows on every run, other rows for another purpose."""
+    return F.lit(share >= 1) | (F.xxhash64("id", F.lit(purpose)) < F.lit(int(-(2**63) + min(share, 1) * (2**64 - 1)) if share < 1 else 0))
 
 
 def unit_vectors(vectors: DataFrame, dims: int) -> DataFrame:
@@ -161,58 +217,73 @@ def nearest(
     distinct = materialize(distinct.join(members.select("id").distinct(), "id", "left_semi"))
     spark = vectors.sparkSession
     rows = distinct.count()
-    # A hash of the id orders the sample, so it is the same on every run; its size is bounded whatever rows is.
+    # Samples are drawn by hash, by every task from its own rows; their sizes are bounded whatever rows is.
     size = int(min(SAMPLE, max(2_000, 256 * rows / leaf)))
-    drawn = distinct.orderBy(F.xxhash64("id", F.lit("sample"))).limit(size).toArrow() if rows else None
+    drawn = distinct.where(_drawn("sample", size / max(1, rows))).select("v").toArrow() if rows else None
     sample = _matrix(drawn["v"].combine_chunks(), dims) if rows else np.zeros((0, dims), np.float32)
-    tree = grow(sample, rows, leaf=leaf)
+    tree = deepen(grow(sample, rows, leaf=leaf), distinct, rows, dims, leaf) if rows else grow(sample, rows, leaf=leaf)
     shipped = spark.sparkContext.broadcast(tree)
 
-    visited, reached = _calibrate(distinct, sample[: CALIBRATION], drawn["id"].to_pylist()[:CALIBRATION] if rows else [], tree, shipped, dims, k, least, recall)
-    # The sample tells about how many vectors a leaf has; larger leaves are dealt to several tasks.
-    own = np.bincount(tree.visits(sample, 1)[:, 0], minlength=tree.leaves) if len(sample) else np.zeros(1)
-    blocks = np.maximum(1, np.ceil(own * rows / max(1, len(sample)) / BLOCK)).astype(int)
-    blocks_shipped = spark.sparkContext.broadcast(blocks)
+    # Queries to calibrate with are others than the tree was fitted on, where there are enough.
+    held_out = distinct.where(~_drawn("sample", size / max(1, rows))) if rows > 2 * size else distinct
+    asked = held_out.where(_drawn("calibration", CALIBRATION / max(1, rows - (size if rows > 2 * size else 0)))).select("id", "v").toArrow() if rows else None
+    queries = _matrix(asked["v"].combine_chunks(), dims) if rows else sample
+    visited, reached = _calibrate(distinct, queries, asked["id"].to_pylist() if rows else [], tree, shipped, dims, k, least, recall)
+    # The sample tells about how many vectors, and questions, a leaf has; large leaves are dealt to several tasks.
+    seen = tree.visits(sample, visited) if len(sample) else np.zeros((0, 1), np.int32)
+    times = rows / max(1, len(sample))
+    dealt = lambda leaves, most: np.maximum(1, np.ceil(np.bincount(leaves[leaves >= 0], minlength=tree.leaves) * times / most)).astype(int)
+    shares = spark.sparkContext.broadcast((dealt(seen[:, 0], BLOCK), dealt(seen.ravel(), ASKED)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, blocks = shipped.value, blocks_shipped.value
-        schema = pa.schema([("leaf", pa.int32()), ("block", pa.int32()), ("asks", pa.bool_()), ("id", pa.int64()), ("v", pa.binary())])
+        tree, (blocks, parts) = shipped.value, shares.value
+        schema = pa.schema([("leaf", pa.int32()), ("block", pa.int32()), ("part", pa.int32()), ("asks", pa.bool_()), ("id", pa.int64()), ("v", pa.binary())])
+
+        def rows_of(row, leaf, block, part, asks: bool, mine, whole) -> pa.RecordBatch:
+            columns = [pa.array(x.astype(np.int32)) for x in (leaf, block, part)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(row), asks)), pa.array(mine[row]), whole.take(pa.array(row))], schema=schema)
+
+        def repeated(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.repeat(np.arange(len(counts)), counts)
+            return at, np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+
         for batch in batches:
             ids = batch.column(0).to_numpy()
             v = _matrix(batch.column(1), dims)
             for start in range(0, len(ids), 2_048):
                 part, mine = v[start : start + 2_048], ids[start : start + 2_048]
                 leaves = tree.visits(part, visited)
-                home = leaves[:, 0]
-                stored = (mine.view(np.uint64) >> np.uint64(7)) % blocks[home].astype(np.uint64)
                 whole = pa.array([r.tobytes() for r in np.ascontiguousarray(part, "<f4")], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(stored.astype(np.int32)), pa.array(np.zeros(len(mine), bool)), pa.array(mine), whole], schema=schema)
-                # A question is put once per block of a leaf.
+                spread = mine.view(np.uint64) >> np.uint64(7)
+                # A vector is stored in one block of its leaf, for each part of the questions ...
+                home = leaves[:, 0]
+                at, to_part = repeated(parts[home])
+                yield rows_of(at, home[at], (spread % blocks[home].astype(np.uint64))[at], to_part, False, mine, whole)
+                # ... and is in one part of the questions to a leaf, for each block.
                 row, col = np.nonzero(leaves >= 0)
                 to = leaves[row, col]
-                times = blocks[to]
-                row, to, block = np.repeat(row, times), np.repeat(to, times), np.concatenate([np.arange(t) for t in times])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(to, pa.int32()), pa.array(block.astype(np.int32)), pa.array(np.ones(len(to), bool)), pa.array(mine[row]), whole.take(pa.array(row))], schema=schema
-                )
+                at, to_block = repeated(blocks[to])
+                yield rows_of(row[at], to[at], to_block, (spread[row] % parts[to].astype(np.uint64))[at], True, mine, whole)
 
     def compare(group: pa.Table) -> pa.Table:
         asks = group["asks"].combine_chunks()
         held, put = group.filter(pc.invert(asks)), group.filter(asks)
         ids, v = held["id"].to_numpy(), _matrix(held["v"].combine_chunks(), dims)
         asked = put["id"].to_numpy()
-        out_a, out_b, out_s = [], [], []
+        out, back = [], _none()
         for start in range(0, len(asked) if len(ids) else 0, 1_024):
             mine = asked[start : start + 1_024]
             q = _matrix(put["v"].slice(start, len(mine)).combine_chunks(), dims)
-            a, b, s = _best(q @ v.T, mine, ids, k, least)
-            out_a.append(a), out_b.append(b), out_s.append(s)
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        return pa.table({"a": pa.array(join(out_a, np.int64), pa.int64()), "b": pa.array(join(out_b, np.int64), pa.int64()), "similarity": pa.array(join(out_s, np.float32).astype(np.float64))})
-
-    placed = distinct.mapInArrow(place, "leaf int, block int, asks boolean, id long, v binary")
-    met = placed.groupBy("leaf", "block").applyInArrow(compare, "a long, b long, similarity double")
-    # What a vector finds is found by the other too; a pair is lost only if neither asked where the other is.
+            met = _met(q, v, mine, ids, k, least)
+            out.append(_top(*met[0], k))
+            # What is found by asking is found for the vector that is held, too: its best are kept as well.
+            back = _top(*(np.concatenate(x) for x in zip(back, met[1])), k)
+        a, b, s = (np.concatenate(x) for x in zip(back, *out))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
+
+    placed = distinct.mapInArrow(place, "leaf int, block int, part int, asks boolean, id long, v binary")
+    met = placed.groupBy("leaf", "block", "part").applyInArrow(compare, "a long, b long, similarity double")
+    # A pair that is met counts for both ends; it is lost only if neither asked where the other is.
     ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     met = met.select(ways.alias("w"), "similarity").groupBy("w.a", "w.b").agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
@@ -220,34 +291,52 @@ def nearest(
     return Neighbours(edges, members, visited, reached, tree.leaves)
 
 
-def _best(similar: np.ndarray, mine: np.ndarray, ids: np.ndarray, k: int, least: float | None):
-    """The ``k`` best others of each row as flat arrays; where a limit is set, few entries pass it."""
+def _none() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float64)
+
+
+def _met(q, v, mine, ids, k: int, least: float | None):
+    """Pairs of questions and held vectors as (a, b, similarity), by question and by held vector; those that
+    cannot be among the best ``k`` of their first are left out."""
+    similar = q @ v.T
     if least is not None:
-        row, col = np.nonzero(similar >= least)
-        other = mine[row] != ids[col]
-        row, col = row[other], col[other]
-        s = similar[row, col]
-        order = np.lexsort((ids[col], -s, row))
-        row, col, s = row[order], col[order], s[order]
-        first = np.searchsorted(row, row, side="left")
-        keep = np.arange(len(row)) - first < k
-        return mine[row[keep]], ids[col[keep]], s[keep]
-    n = min(k + 1, similar.shape[1])
-    col = np.argpartition(-similar, n - 1, axis=1)[:, :n]
-    row = np.repeat(np.arange(len(mine)), n)
-    col = col.ravel()
-    other = mine[row] != ids[col]
-    return mine[row[other]], ids[col[other]], similar[row[other], col[other]]
+        row, col = np.nonzero(similar >= least - MARGIN)
+        keep = mine[row] != ids[col]
+        row, col = row[keep], col[keep]
+        s = similar[row, col].astype(np.float64)
+        near = np.flatnonzero(np.abs(s - least) <= MARGIN)
+        s[near] = np.einsum("ij,ij->i", q[row[near]].astype(np.float64), v[col[near]].astype(np.float64))
+        row, col, s = row[s >= least], col[s >= least], s[s >= least]
+        return (mine[row], ids[col], s), (ids[col], mine[row], s)
+    n, m = min(k + 1, similar.shape[1]), min(k + 1, similar.shape[0])
+    best = np.argpartition(-similar, n - 1, axis=1)[:, :n]
+    row, col = np.repeat(np.arange(len(mine)), n), best.ravel()
+    keep = mine[row] != ids[col]
+    row, col = row[keep], col[keep]
+    best = np.argpartition(-similar, m - 1, axis=0)[:m]
+    row_b, col_b = best.ravel(), np.tile(np.arange(len(ids)), m)
+    keep = mine[row_b] != ids[col_b]
+    row_b, col_b = row_b[keep], col_b[keep]
+    return (mine[row], ids[col], similar[row, col].astype(np.float64)), (ids[col_b], mine[row_b], similar[row_b, col_b].astype(np.float64))
+
+
+def _top(a, b, s, k: int):
+    """The ``k`` best of each first; of equally similar ones those of least id."""
+    order = np.lexsort((b, -s, a))
+    a, b, s = a[order], b[order], s[order]
+    keep = np.arange(len(a)) - np.searchsorted(a, a, side="left") < k
+    return a[keep], b[keep], s[keep]
 
 
 def _calibrate(distinct, queries, query_ids, tree, shipped, dims, k, least, target) -> tuple[int, float]:
     """Leaves to visit, and the share of true neighbours met by then, from brute force for the queries.
 
-    Where WIDEST leaves do not reach the target, twice as many are tried, up to all leaves, which miss nothing.
+    The target must be met even less one standard error, for which the neighbours of a query count as one
+    observation each. Where WIDEST leaves do not reach it, more are tried, up to all, which miss nothing.
     Where the queries have no true neighbours nothing can be measured, and all leaves are visited.
     """
     if not len(queries) or tree.leaves == 1:
-        return 1, 1.0
+        return tree.leaves, 1.0
     opened = lambda width: min(tree.leaves, max(LOOKED, WIDER * width))
     most, settled = min(WIDEST, tree.leaves), False
     while True:
@@ -256,13 +345,16 @@ def _calibrate(distinct, queries, query_ids, tree, shipped, dims, k, least, targ
         met = total - places.get(most, 0)
         if not total:
             return tree.leaves, 1.0
-        if met < target * total:
+        enough = total * min(1.0, target + (target * (1 - target) / total) ** 0.5)
+        if met < enough:
+            if most == tree.leaves:
+                raise RuntimeError("true neighbours are missed although all leaves are visited")
             most = min(tree.leaves, most + (max(1, most // 4) if settled else most))
             continue
         if settled:
             return most, met / total
         width, met = 1, places.get(0, 0)
-        while met < target * total:
+        while met < enough:
             met += places.get(width, 0)
             width += 1
         if opened(width) == opened(most):
