@@ -59,7 +59,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed shingles of each text, one after another, and how many each text has.
+    """Distinct shingles of each text as sorted hashes of 40 bits, one text after another, and how many each has.
 
     Words are maximal runs of letters and digits of the lower-cased text. All texts go through the same
     few array operations: characters are classified by a table, word hashes are sums over characters
@@ -87,7 +87,7 @@ def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.nd
     for k in range(words):
         shingle = _mix(shingle * _U(3) + word[k : k + n])
     same = text_of[:n] == text_of[words - 1 :]
-    shingle, owner = shingle[same], text_of[:n][same]
+    shingle, owner = shingle[same] >> _U(24), text_of[:n][same]
     order = np.lexsort((shingle, owner))
     shingle, owner = shingle[order], owner[order]
     new = np.ones(len(shingle), bool)
@@ -95,6 +95,17 @@ def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.nd
     return shingle[new], np.bincount(owner[new], minlength=len(texts))
 
 
+def packed(shingles: np.ndarray) -> bytes:
+    """Hashes of 40 bits as five bytes each; ``unpacked`` gives them back."""
+    return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(stored: bytes) -> np.ndarray:
+    wide = np.zeros((len(stored) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(stored, np.uint8).reshape(-1, 5)
+    return wide.view("<u8").ravel()
+
+
 def signatures(shingles: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each non-empty set: a hash of the set, its fingerprint as 64-bit words, and its band hashes."""
     full = np.flatnonzero(sizes)
@@ -279,7 +290,7 @@ def near_duplicates(texts: DataFrame, *, words: int = 5, threshold: float = 0.8)
                         part.column(0).take(full), part.column(1).take(full), pa.array(whole.view(np.int64)), pa.array(sizes[sizes > 0].astype(np.int32)),
                         *(pa.array(f.copy().view(np.int64)) for f in prints.T),
                         pa.ListArray.from_arrays(offsets, pa.array(bands.ravel().view(np.int64))),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
+                        pa.array([packed(s) for s in sets], pa.binary()),
                     ],
                     ["kind", "key", "sethash", "n", *PRINT, "bands", "shingles"],
                 )
@@ -360,7 +371,7 @@ def _verified(candidates: DataFrame, signed: DataFrame, threshold: float) -> Dat
                 if p != place:
                     place, kinds, known = p, {}, {}
                 if b is None:
-                    kinds[a], known[a] = names[i].as_py(), np.frombuffer(shingles[i].as_py(), _U)
+                    kinds[a], known[a] = names[i].as_py(), unpacked(shingles[i].as_py())
                     continue
                 x, y = known[a], known[b]
                 shared = len(np.intersect1d(x, y, assume_unique=True))
