@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from evistrata.session import materialize
 
 #: Bounds of what the driver ever holds: vectors to fit the upper tree on, queries to calibrate with, and leaves.
-SAMPLE, CALIBRATION, LEAVES = 65_536, 1_024, 65_536
+SAMPLE, CALIBRATION, LEAVES = 65_536, 4_096, 65_536
 #: Vectors a leaf is meant to hold, children of an inner node, and sampled vectors a leaf is fitted on at least.
 LEAF, BRANCH, FITTED = 6_000, 8, 16
-#: Vectors of a leaf, and questions to a leaf, per task.
-BLOCK, ASKED = 16_384, 65_536
+#: Vectors of a leaf, and questions to a leaf, per task: a leaf that is larger is sent the questions several times.
+BLOCK, ASKED = 49_152, 131_072
 #: Share of true neighbours that the visited leaves must hold, and the widest search that is calibrated first.
 RECALL, WIDEST = 0.997, 64
 #: Leaves that a traversal opens before it settles on the best of them.
@@ -141,13 +141,13 @@ def deepen(tree: Tree, distinct: DataFrame, rows: int, dims: int, leaf: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), part.column(1)], ["leaf", "v"])
 
     def split(group: pa.Table) -> pa.Table:
-        members = _matrix(group["v"].combine_chunks(), dims)
+        members = _matrix(group.sort_by("v")["v"].combine_chunks(), dims)
         k = min(int(np.ceil(len(members) / share / size)), len(members) // FITTED)
         found = _centres(members, k, np.random.default_rng(7))[0] if k > 1 else members[:0]
         return pa.table({"leaf": pa.array([group["leaf"][0].as_py()] * len(found), pa.int32()), "centre": pa.array([c.tobytes() for c in found.astype("<f4")], pa.binary())})
 
     drawn = distinct.where(_drawn("deeper", share)).select("id", "v").mapInArrow(descend, "leaf int, v binary")
-    below = drawn.groupBy("leaf").applyInArrow(split, "leaf int, centre binary").toArrow()
+    below = drawn.groupBy("leaf").applyInArrow(split, "leaf int, centre binary").toArrow().sort_by([("leaf", "ascending"), ("centre", "ascending")])
     if not below.num_rows:
         return tree
     nodes = {int(n): i for i, n in enumerate(tree.leaf) if n >= 0}
@@ -219,7 +219,8 @@ def nearest(
     rows = distinct.count()
     # Samples are drawn by hash, by every task from its own rows; their sizes are bounded whatever rows is.
     size = int(min(SAMPLE, max(2_000, 256 * rows / leaf)))
-    drawn = distinct.where(_drawn("sample", size / max(1, rows))).select("v").toArrow() if rows else None
+    # In the order of ids, so that the tree is the same however the rows are spread over tasks.
+    drawn = distinct.where(_drawn("sample", size / max(1, rows))).select("id", "v").toArrow().sort_by("id") if rows else None
     sample = _matrix(drawn["v"].combine_chunks(), dims) if rows else np.zeros((0, dims), np.float32)
     tree = deepen(grow(sample, rows, leaf=leaf), distinct, rows, dims, leaf) if rows else grow(sample, rows, leaf=leaf)
     shipped = spark.sparkContext.broadcast(tree)
@@ -271,8 +272,9 @@ def nearest(
         ids, v = held["id"].to_numpy(), _matrix(held["v"].combine_chunks(), dims)
         asked = put["id"].to_numpy()
         out, back = [], _none()
-        for start in range(0, len(asked) if len(ids) else 0, 1_024):
-            mine = asked[start : start + 1_024]
+        step = max(64, min(1_024, (1 << 25) // max(1, len(ids))))
+        for start in range(0, len(asked) if len(ids) else 0, step):
+            mine = asked[start : start + step]
             q = _matrix(put["v"].slice(start, len(mine)).combine_chunks(), dims)
             met = _met(q, v, mine, ids, k, least)
             out.append(_top(*met[0], k))
