@@ -19,6 +19,7 @@ import re
 import unicodedata
 import uuid
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -374,14 +375,16 @@ def link_names(names: DataFrame, entities: DataFrame, *, text: str = "text") ->
     shipped, token = spark.sparkContext.broadcast(dictionary_rows(entities)), uuid.uuid4().hex
     # Few bytes, much thought: a set number of tasks keeps adaptive execution from packing them into one.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    distinct = names.where(F.trim(F.col(text)) != "").select(F.col(text).alias("text")).distinct().repartition(tasks, "text")
+    distinct = names.where(F.trim(F.col(text)) != "").select(F.col(text).alias("text")).distinct().repartition(tasks, F.xxhash64("text"))
 
-    @F.pandas_udf("entity_id long, is_exact boolean")
-    def link(values: pd.Series) -> pd.DataFrame:
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _dictionary(token, shipped)
-        return pd.DataFrame({"entity_id": pd.Series([known.link(v) for v in values], dtype="Int64"), "is_exact": [trimmed(v) in known.texts for v in values]})
+        for batch in batches:
+            values = batch["text"]
+            yield pd.DataFrame({"text": values, "entity_id": pd.Series([known.link(v) for v in values], dtype="Int64"), "is_exact": [trimmed(v) in known.texts for v in values]})
 
-    return distinct.select("text", link("text").alias("x")).select("text", "x.entity_id", "x.is_exact")
+    # Not a column expression: filters on its results would have it computed again for each.
+    return distinct.mapInPandas(link, "text string, entity_id long, is_exact boolean")
 
 
 _built: dict[str, Dictionary] = {}
