@@ -31,9 +31,13 @@ grouped AS (SELECT *, min(fact_id) OVER g AS group_id, max(fact_id) OVER g AS la
 cells AS (
   SELECT group_id, fact_id, day, code, unnest(['concept', 'period_start', 'val', 'accn', 'frame']) AS field_name,
     unnest([{_filled('concept')}, {_filled('period_start')}, {_filled('val')}, {_filled('accn')}, {_filled('frame')}]) AS value
-  FROM grouped WHERE group_id < last_id)
-SELECT group_id, field_name, fact_id FROM cells WHERE value IS NOT NULL
-QUALIFY row_number() OVER (PARTITION BY group_id, field_name ORDER BY day DESC NULLS LAST, lpad(code, 40, '0') DESC NULLS LAST, fact_id) = 1
+  FROM grouped WHERE group_id < last_id),
+top AS (SELECT group_id, field_name, fact_id, value FROM cells WHERE value IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY group_id, field_name ORDER BY day DESC NULLS LAST, lpad(code, 40, '0') DESC NULLS LAST, fact_id) = 1)
 """
+_FIELD = "max(value) FILTER (field_name = '{0}')"
 
-SQL: dict[str, str] = {"p6_found": _P6}
+SQL: dict[str, str] = {
+    "p6_found": f"{_P6} SELECT group_id, field_name, fact_id FROM top",
+    "p6_survivors": f"{_P6} SELECT group_id, {', '.join(f'{_FIELD.format(f)} AS {f}' for f in ('concept', 'period_start', 'accn', 'frame'))}, {_FIELD.format('val')}::DOUBLE AS val FROM top GROUP BY 1",
+}

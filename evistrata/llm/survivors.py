@@ -91,6 +91,6 @@ def field_survivors(facts: DataFrame, concept_map: DataFrame) -> DataFrame:
 
 
 def survivors(facts: DataFrame, concept_map: DataFrame) -> DataFrame:
-    """One surviving record per group: its fields side by side."""
-    fields = field_survivors(facts, concept_map)
-    return fields.groupBy("group_id").agg(*[F.max(F.when(F.col("field_name") == f, F.col("value"))).alias(f) for f in FIELDS])
+    """One surviving record per group: its fields side by side, of the types they had."""
+    fields, kinds = field_survivors(facts, concept_map), dict(facts.dtypes)
+    return fields.groupBy("group_id").agg(*[F.max(F.when(F.col("field_name") == f, F.col("value"))).cast(kinds[f]).alias(f) for f in FIELDS])
