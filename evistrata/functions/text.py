@@ -17,6 +17,28 @@ REFUSAL = (
 )
 
 
+#: Words that scale the number before them.
+SCALES = {"trillion": 1e12, "billion": 1e9, "bn": 1e9, "b": 1e9, "million": 1e6, "mn": 1e6, "m": 1e6}
+
+
+def tidy_code(value: Column) -> Column:
+    """Letter case, blanks and separators of a source or language code made alike; blank is null."""
+    tidy = F.regexp_replace(F.lower(F.trim(F.regexp_replace(value, r"(?U)[\s]+", " "))), r"[\s_-]+", "_")
+    return F.when(tidy != "", tidy)
+
+
+def tidy_ticker(value: Column) -> Column:
+    tidy = F.upper(F.trim(value))
+    return F.when(tidy != "", tidy)
+
+
+def tidy_form(value: Column) -> Column:
+    """``Form 10-k``, ``10K`` and ``10-K `` are 10-K; amendments (``/A``) stay apart."""
+    bare = F.regexp_replace(F.upper(F.trim(value)), r"^FORM\s+", "")
+    tidy = F.regexp_replace(bare, r"^(\d+)[\s-]*([A-Z]+)", "$1-$2")
+    return F.when(tidy != "", tidy)
+
+
 def comparable_quote(value: Column) -> Column:
     """Lower case, with every run of blanks and quotation marks as one space."""
     return F.trim(F.lower(F.regexp_replace(value, "(?U)[\\s’'\"“”]+", " ")))
@@ -90,8 +112,9 @@ def numbers(value: Column) -> Column:
     found = F.arrays_zip(F.regexp_extract_all(plain, F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all(plain, F.lit(pattern), F.lit(2)).alias("u"))
 
     def scaled(x: Column) -> Column:
-        unit = F.lower(x["u"])
-        by = F.when(unit.isin("billion", "bn", "b"), 1e9).when(unit.isin("million", "mn", "m"), 1e6).when(unit == "trillion", 1e12).otherwise(1.0)
+        by = F.lit(1.0)
+        for word, factor in SCALES.items():
+            by = F.when(F.lower(x["u"]) == word, factor).otherwise(by)
         return x["n"].try_cast("double") * by
 
     return F.filter(F.transform(found, scaled), lambda v: v.isNotNull())

@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evistrata.functions.text import is_refusal, numbers
 
+#: The accepted relative error of a number, and the bounds of a faithful and of a recalled answer.
 TOLERANCE, FAITHFUL, RECALLED = 0.005, 0.8, 0.5
 #: The labels of failures.
 LABELS = (
     "RETRIEVAL_MISS", "UNGROUNDED_CLAIM", "WRONG_ENTITY", "STALE_RISK_LEAK", "NUMERIC_MISMATCH",
     "REFUSAL_OVERTRIGGER", "REFUSAL_MISSED", "FORMAT_OR_CITATION", "OTHER",
 )
+#: The metrics of a summary and the scores they are means of.
 METRICS = {
     "correct": "correct", "faithfulness": "faithfulness", "context_precision": "context_precision", "context_recall": "context_recall",
     "citation_validity": "citation_ok", "avg_citations": "n_citations", "avg_cost_usd": "cost_usd", "avg_latency_s": "latency_s",
@@ -23,8 +25,8 @@ METRICS = {
 
 def correctness(kind: Column, answer: Column, value: Column, any_of: Column, judged: Column) -> Column:
     """By kind and expectation: a refusal where one is due; else a number within 0.5 % of the expected
-    value; else one of the expected strings; else a judge's verdict, which may be missing."""
-    near = F.exists(numbers(answer), lambda v: F.abs(v - value) / value < TOLERANCE)
+    value (of zero only zero is); else one of the expected strings; else a judge's verdict, which may be missing."""
+    near = F.exists(numbers(answer), lambda v: (v == value) | (F.abs(v - value) < TOLERANCE * F.abs(value)))
     said = F.exists(any_of, lambda s: F.contains(F.lower(answer), F.lower(s)))
     return F.when(kind == "refusal", is_refusal(answer)).when(value.isNotNull(), near).when(any_of.isNotNull(), said).otherwise(judged)
 

@@ -12,13 +12,23 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
+def stored(edges: DataFrame) -> DataFrame:
+    """Edges that are read more than once: as they are if they are a table, else written as one."""
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    return edges if plan.startswith("Relation") else materialize(edges)
+
+
 def nodes_within(edges: DataFrame, anchors: DataFrame, hops: int, *, directed: bool = False) -> DataFrame:
     """``node, distance`` of all nodes at most ``hops`` away from an anchor (column ``node``)."""
-    steps = materialize(edges.select("src", "dst").distinct() if directed else _both_ways(edges))
+    steps = stored(edges).select("src", "dst")
     reached = materialize(anchors.select("node").distinct().withColumn("distance", F.lit(0)))
     for distance in range(1, hops + 1):
-        frontier = reached.where(F.col("distance") == distance - 1)
-        met = frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct()
+        # The frontier meets the edges from either end; the whole graph is neither doubled nor made distinct.
+        frontier = reached.where(F.col("distance") == distance - 1).select("node")
+        met = steps.join(frontier, steps["src"] == frontier["node"], "left_semi").select(F.col("dst").alias("node"))
+        if not directed:
+            met = met.union(steps.join(frontier, steps["dst"] == frontier["node"], "left_semi").select(F.col("src").alias("node")))
+        met = met.distinct()
         fresh = met.join(reached, "node", "left_anti").withColumn("distance", F.lit(distance))
         reached = materialize(reached.unionByName(fresh))
     return reached
@@ -27,6 +37,7 @@ def nodes_within(edges: DataFrame, anchors: DataFrame, hops: int, *, directed: b
 def k_hop_edges(edges: DataFrame, anchors: DataFrame, hops: int) -> DataFrame:
     """The distinct edges on undirected paths of at most ``hops`` edges from an anchor, each edge used at
     most once per path: exactly those with an end within ``hops`` - 1 of an anchor."""
+    edges = stored(edges)
     near = nodes_within(edges, anchors, hops - 1).select("node") if hops > 1 else anchors.select("node").distinct()
     out = edges.join(near, edges["src"] == near["node"], "left_semi")
     into = edges.join(near, edges["dst"] == near["node"], "left_semi")
@@ -35,7 +46,7 @@ def k_hop_edges(edges: DataFrame, anchors: DataFrame, hops: int) -> DataFrame:
 
 def reaching(edges: DataFrame, targets: DataFrame, hops: int) -> DataFrame:
     """``target, sources``: how many other nodes reach each target over directed paths of up to ``hops`` edges."""
-    steps = materialize(edges.select("src", "dst").distinct())
+    steps = materialize(stored(edges).select("src", "dst").distinct())
     pairs = targets.select(F.col("node").alias("target"), F.col("node").alias("at")).distinct()
     found = None
     frontier = pairs
@@ -78,7 +89,7 @@ def neighbourhood(edges: DataFrame, node, evidence: DataFrame, *, ids: str = "ev
 
 
 def labelled(edges: DataFrame, nodes: DataFrame, *, key: str, name: Column | str) -> DataFrame:
-    """Edges with the names of both ends, in their stored direction."""
+    """Edges with the names of both ends, in their stored direction; an end without a name keeps its edge."""
     label = name if isinstance(name, Column) else F.col(name)
     of = lambda side: nodes.select(F.col(key).alias(side), label.alias(f"{side}_name"))
-    return edges.join(of("src"), "src").join(of("dst"), "dst")
+    return edges.join(of("src"), "src", "left").join(of("dst"), "dst", "left")

@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+#: Accepted events and seconds of the limits by name.
+LIMITS = {"paid": (5, 600), "free": (30, 600), "reads": (120, 60)}
+
+
 class SlidingWindow:
     """Accepts an event if fewer than ``most`` accepted ones are at most ``window`` old; a rejected event
     leaves no trace. ``most`` of 0 or less accepts everything."""

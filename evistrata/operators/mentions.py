@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections import defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: A dictionary of aliases is compiled into expressions up to this size; it is a hand-kept list.
+try:
+    import ahocorasick
+except ImportError:  # texts then meet the aliases by words
+    ahocorasick = None
+
+#: Names up to which a dictionary, a hand-kept list, is compiled into a pattern or shipped to be compared by similarity.
 ALIAS_BOUND = 20_000
+#: Letters of aliases up to which all of them are searched for in one pass over each text.
+AUTOMATON_LETTERS = 8 << 20
 _WORD = r"[\p{L}\p{N}_]"
 
 
@@ -21,14 +32,63 @@ def mentioned(texts: DataFrame, entities: DataFrame, *, key: str = "chunk_id", t
     """``key, entity_id`` of every organisation of which a text holds a name or alias as whole words,
     whatever the case.
 
-    Instead of testing every alias on every text, aliases are looked up by their words: texts become
-    their distinct words and those meet the aliases by first word, so a text is only searched for aliases
-    that begin with one of its words. The search for the whole alias confirms it.
+    An automaton of all aliases is shipped and runs once over each text where it is, so neither texts nor
+    words are shuffled. A dictionary of more than AUTOMATON_LETTERS meets the texts by words instead.
     """
-    lowered = F.lower(F.col(text))
     word = rf"{_WORD}+"
     names = aliases(entities).select("entity_id", F.lower(F.trim("alias")).alias("alias")).distinct()
     names = names.withColumn("first", F.regexp_extract("alias", word, 0)).where("first <> ''")
+    texts = texts.where(F.col(key).isNotNull())
+    if ahocorasick is not None and (names.agg(F.sum(F.length("alias"))).first()[0] or 0) <= AUTOMATON_LETTERS:
+        return _mentioned_in_one_pass(texts, names, key, text)
+    return _mentioned_by_words(texts, names, key, text)
+
+
+_built: dict[str, object] = {}
+
+
+def _automaton(token: str, rows: list[tuple[int, str]]):
+    if token not in _built:
+        _built.clear()
+        owners = defaultdict(list)
+        for entity, alias in rows:
+            owners[alias].append(entity)
+        found = ahocorasick.Automaton()
+        for alias, entities in owners.items():
+            found.add_word(alias, (len(alias), entities))
+        if owners:
+            found.make_automaton()
+        _built[token] = found
+    return _built[token]
+
+
+def _mentioned_in_one_pass(texts: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
+    shipped = texts.sparkSession.sparkContext.broadcast([(r["entity_id"], r["alias"]) for r in names.select("entity_id", "alias").collect()])
+    token = uuid.uuid4().hex
+    inside = lambda c: c.isalnum() or c == "_"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(token, shipped.value)
+        for batch in batches:
+            rows, ids = [], []
+            for row, low in enumerate(batch.column(1).to_pylist() if len(automaton) else []):
+                met = set()
+                for end, (length, entities) in automaton.iter(low or ""):
+                    start = end - length
+                    if (start < 0 or not inside(low[start])) and (end + 1 == len(low) or not inside(low[end + 1])):
+                        met.update(entities)
+                rows += [row] * len(met)
+                ids += met
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(ids, pa.int64())], [key, "entity_id"])
+
+    found = texts.select(key, F.lower(F.col(text)).alias("__t")).mapInArrow(run, f"`{key}` {dict(texts.dtypes)[key]}, entity_id long")
+    return found.distinct()
+
+
+def _mentioned_by_words(texts: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
+    """Texts become their distinct words, which meet the aliases by first word, so a text is only searched
+    for aliases that begin with one of its words."""
+    lowered, word = F.lower(F.col(text)), rf"{_WORD}+"
     words = F.array_distinct(F.regexp_extract_all(lowered, F.lit(rf"({word})"), F.lit(1)))
     # Only words that begin an alias travel: a text meets the few aliases before its text does.
     hits = texts.select(key, F.explode(words).alias("first")).join(names, "first").groupBy(key).agg(F.collect_set(F.struct("entity_id", "alias")).alias("maybe"))

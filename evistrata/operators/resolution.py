@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -21,12 +22,22 @@ def alias_lookup(entities: DataFrame) -> DataFrame:
     return rows.select(comparable_name(F.col("text")).alias("alias"), "name", "entity_id", "pos").where("alias <> ''").groupBy("alias").agg(F.max_by("name", F.struct("entity_id", "pos")).alias("name"))
 
 
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """How often each text has each letter, in 64 columns that letters may share."""
+    counts = np.zeros((len(texts), 64), np.int32)
+    for i, text in enumerate(texts):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        counts[i] = np.bincount(codes & 63, minlength=64)
+    return counts
+
+
 def resolve(names: DataFrame, entities: DataFrame, *, threshold: float = SIMILAR) -> DataFrame:
     """``raw, canonical``: the canonical name of each distinct raw name, or null.
 
     Names that match no alias as they stand are compared by the Ratcliff-Obershelp ratio, first best by
-    alias order. Lengths bound the ratio, so most aliases are passed over unread. The aliases, a list of
-    bounded size, are shipped to the tasks; names are compared once however often they occur.
+    alias order. The ratio is at most that of the letters two names have in common, whatever their order,
+    which is counted for all aliases at once; only aliases that it lets pass are compared. The aliases, a
+    list of bounded size, are shipped to the tasks; names are compared once however often they occur.
     """
     lookup = alias_lookup(entities)
     raw = names.select(F.col(names.columns[0]).alias("raw")).where("raw IS NOT NULL").distinct().withColumn("alias", comparable_name(F.col("raw")))
@@ -41,13 +52,16 @@ def resolve(names: DataFrame, entities: DataFrame, *, threshold: float = SIMILAR
     def similar(values: pd.Series) -> pd.Series:
         known = shipped.value
         memory: dict[str, str | None] = {}
+        lengths = np.array([len(a) for a, _ in known])
+        letters = letter_counts([a for a, _ in known])
 
         def best(value: str) -> str | None:
             found, most = None, 0.0
-            for alias, name in known:
-                bound = 2 * min(len(value), len(alias)) / (len(value) + len(alias))
-                if bound <= most or bound < threshold:
+            bounds = 2 * np.minimum(letters, letter_counts([value])).sum(1) / (lengths + len(value))
+            for i in np.flatnonzero(bounds >= threshold - 1e-9) if len(known) else ():
+                if bounds[i] <= most:
                     continue
+                alias, name = known[i]
                 ratio = SequenceMatcher(None, value, alias).ratio()
                 if ratio > most:
                     found, most = name, ratio

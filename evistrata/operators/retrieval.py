@@ -12,6 +12,7 @@ from evistrata.operators import facts, graph, temporal
 from evistrata.operators.vector_search import scoped_top_k, top_k
 
 EXCERPTS, NEAR_EXCERPTS, NEAR_RISKS, RISKS, METRICS, DROPPED = 8, 60, 40, 6, 20, 10
+#: The headers of a context, in order; ``lines`` has the fixed form of their lines.
 BLOCKS = ("RELATIONSHIPS", "METRICS", "ACTIVE RISKS", "DROPPED RISK LINEAGES", "EXCERPTS")
 
 
@@ -56,7 +57,10 @@ def vector_only(spans: DataFrame, query: Sequence[float], k: int = EXCERPTS) ->
 
 
 def lines(layers: dict[str, DataFrame]) -> DataFrame:
-    """Every line of the context with its block, order and citable ids: ``block, position, line, ids``."""
+    """Every line of the context with its block, order and citable ids: ``block, position, line, ids``.
+
+    Fixed values: the wording of the lines.
+    """
     empty = F.array().cast("array<string>")
     cite = lambda ids: F.array_join(F.transform(ids, lambda i: F.concat(F.lit("["), i, F.lit("]"))), " ")
 

@@ -18,7 +18,7 @@ class Lineages:
 
     A vector joins the most similar lineage so far if it is similar enough (and more than 0), else it
     starts one. A centre is the mean of its members at length one; of equally similar lineages the first
-    is taken. Inner products are in double precision.
+    is taken. Vectors count at length one. Inner products are in double precision.
     """
 
     def __init__(self, threshold: float = SAME_RISK):
@@ -27,6 +27,7 @@ class Lineages:
 
     def add(self, vector) -> int:
         v = np.asarray(vector, np.float64)
+        v = v / (np.linalg.norm(v) or 1)
         best = -1
         if self.n:
             similar = self.centres[: self.n] @ v

@@ -20,19 +20,23 @@ def top_k(items: DataFrame, query: Sequence[float], k: int, *, key: str, vector:
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
-def top_k_each(items: DataFrame, queries: DataFrame, k: int, *, key: str, query_key: str, vector: str = "embedding", most_queries: int = 10_000) -> DataFrame:
-    """Top-k of every query of a small set against all items.
+def top_k_each(items: DataFrame, queries: DataFrame, k: int, *, key: str, query_key: str, vector: str = "embedding", block_bytes: int = 64 << 20) -> DataFrame:
+    """Top-k of every query of a stated set against all items.
 
-    The queries, whose number is checked, are shipped; every task keeps its k best per query before
-    anything is shuffled.
+    The queries are shipped in blocks of at most about ``block_bytes``, each of which meets every item once;
+    every task keeps its k best per query before anything is shuffled.
     """
-    n = queries.count()
-    if n > most_queries:
-        raise ValueError(f"{n} queries exceed the bound of {most_queries}; search in blocks or by an index")
-    asked = F.broadcast(queries.select(query_key, F.col(vector).alias("__q")))
-    scored = items.join(asked, F.size(vector) == F.size("__q")).withColumn("score", cosine(F.col(vector), F.col("__q"))).drop("__q", vector)
-    best = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    return scored.where("score IS NOT NULL").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    size = queries.agg(F.coalesce(F.sum(F.size(vector).cast("long") * 8 + 64), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-size // block_bytes))
+    block = F.pmod(F.xxhash64(query_key), F.lit(blocks))
+    out = None
+    for i in range(blocks):
+        asked = F.broadcast(queries.where(block == i).select(query_key, F.col(vector).alias("__q")))
+        scored = items.join(asked, F.size(vector) == F.size("__q")).withColumn("score", cosine(F.col(vector), F.col("__q"))).drop("__q", vector)
+        best = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
+        found = scored.where("score IS NOT NULL").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def scoped_top_k(items: DataFrame, query: Sequence[float], *, key: str, first: int, scope: DataFrame, k: int, vector: str = "embedding") -> DataFrame:

@@ -77,7 +77,7 @@ bench AS (SELECT risk_id, ['numeric', 'dependency', 'refusal', 'risk'][k + 1] AS
   CASE WHEN k = 1 THEN upper(left(summary, 12)) END AS said FROM rr),
 runs AS (SELECT risk_id, 'hybrid' AS system, summary || ' The filing does not contain more.' AS answer, a, b FROM rr UNION ALL SELECT risk_id, 'vector', evidence_quote, a, b FROM rr),
 scores AS (SELECT risk_id AS id, system, type, answer, NOT (a = 3 AND system = 'vector') AS citation_ok, 1 AS n_citations,
-  CASE WHEN type = 'refusal' THEN {_REFUSES} WHEN value IS NOT NULL THEN len(list_filter({_NUM.format('answer')}, lambda v: abs(v - value) / value < 0.005)) > 0
+  CASE WHEN type = 'refusal' THEN {_REFUSES} WHEN value IS NOT NULL THEN len(list_filter({_NUM.format('answer')}, lambda v: v = value OR abs(v - value) < 0.005 * abs(value))) > 0
     WHEN said IS NOT NULL THEN contains(lower(answer), lower(said)) WHEN b <> 7 THEN a > 4 END AS correct,
   CASE WHEN type <> 'refusal' AND b <> 9 THEN CASE WHEN b = 0 THEN 1.0 ELSE least(a, b) / b END END AS faithfulness,
   CASE WHEN b = 0 THEN 1.0 ELSE least(a, b) / b END AS context_recall, ((a % 2 = 0)::INT + (b % 2 = 0)::INT) / 2 AS context_precision, a / 10 AS latency_s, CASE WHEN b > 2 THEN b / 1000 END AS cost_usd

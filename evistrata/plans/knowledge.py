@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import functools
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from evistrata.functions.categories import EXTRACTED, KEYWORDS, REGISTERED, extracted_category, registered_category
 from evistrata.functions.dates import any_date
-from evistrata.functions.text import quote_in_text
+from evistrata.functions.text import quote_in_text, tidy_code
 from evistrata.operators import graph, mentions, model_calls, resolution, upserts
-from evistrata.plans.lake import CHUNKS, any_date_sql, chunks_once
-from evistrata.session import table
+from evistrata.plans.lake import CHUNKS, any_date_sql, chunks_once, tidy_code_sql
+from evistrata.session import materialize, table
 
 ANCHORS = [-132, -26, 5_000_281]
 #: The relation types that make edges.
@@ -35,6 +37,7 @@ def relation_mentions(spark: SparkSession, base: str) -> DataFrame:
 
 
 def relation_graph(spark: SparkSession, base: str) -> DataFrame:
+    """The graph of ends as they are spelled, a part of the resolved one that SQL can follow."""
     return upserts.accumulate_edges(relation_mentions(spark, base))
 
 
@@ -53,7 +56,8 @@ def resolved_mentions(spark: SparkSession, base: str) -> DataFrame:
 
 
 def resolved_graph(spark: SparkSession, base: str) -> DataFrame:
-    """The graph of resolved relations; SQL has no such similarity, so queries with SQL keep to ``relation_graph``."""
+    """The graph of resolved relations. SQL has no such similarity, so its queries have none; the same queries
+    over ``relation_graph``, named ``..._as_spelled``, are compared with SQL."""
     return upserts.accumulate_edges(resolved_mentions(spark, base))
 
 
@@ -70,50 +74,52 @@ edges AS (SELECT src, rel, dst, min(date) AS start_date, list(chunk_id ORDER BY
   first(quote ORDER BY date NULLS FIRST, chunk_id, quote NULLS FIRST) AS quote FROM firsts GROUP BY 1, 2, 3)"""
 
 
-def edge_upsert_accumulate(spark: SparkSession, base: str) -> DataFrame:
-    return relation_graph(spark, base).select("src", "rel", "dst", "start_date", F.array_join("evidence_chunk_ids", ",").alias("ids"), F.col("evidence_quote").alias("quote"))
+def edge_upsert_accumulate(spark: SparkSession, base: str, rows=resolved_mentions) -> DataFrame:
+    return upserts.accumulate_edges(rows(spark, base)).select("src", "rel", "dst", "start_date", F.array_join("evidence_chunk_ids", ",").alias("ids"), F.col("evidence_quote").alias("quote"))
 
 
-def edge_merge(spark: SparkSession, base: str) -> DataFrame:
+def edge_merge(spark: SparkSession, base: str, rows=resolved_mentions) -> DataFrame:
     """Edges of two runs, split by date, merged into one table."""
-    rows = relation_mentions(spark, base)
+    rows = materialize(rows(spark, base))
     early = F.col("date") < F.lit("2020-01-01").cast("date")
     merged = upserts.merge_accumulated(upserts.accumulate_edges(rows.where(early)), upserts.accumulate_edges(rows.where(~early)))
     return merged.select("src", "rel", "dst", "start_date", F.size("evidence_chunk_ids").alias("n_ids"), F.col("evidence_quote").alias("quote"))
 
 
 def edge_create_once(spark: SparkSession, base: str) -> DataFrame:
-    """Exposure edges, first write wins."""
+    """Exposure edges of two runs, first write wins."""
     rows = table(spark, base, "risk_factors").where("risk_id IS NOT NULL AND cik IS NOT NULL").select("cik", "risk_id", F.col("filing_date").alias("start_date"))
-    return upserts.insert_new(rows.limit(0), rows, ["cik", "risk_id"], [F.col("start_date")])
+    early = F.coalesce(F.col("start_date") < F.lit("2020-01-01").cast("date"), F.lit(False))
+    old = rows.where(early).groupBy("cik", "risk_id").agg(F.min("start_date").alias("start_date"))
+    return upserts.insert_new(old, rows.where(~early), ["cik", "risk_id"], [F.col("start_date")])
 
 
-def k_hop_edges(spark: SparkSession, base: str) -> DataFrame:
+def k_hop_edges(spark: SparkSession, base: str, rows=resolved_mentions) -> DataFrame:
     start = spark.createDataFrame([(a,) for a in ANCHORS], "node long")
-    edges = graph.k_hop_edges(relation_graph(spark, base).select("src", "rel", "dst"), start, 2)
+    edges = graph.k_hop_edges(rows(spark, base).select("src", "rel", "dst").distinct(), start, 2)
     return graph.labelled(edges, companies(spark, base), key="cik", name="name").select("src", "rel", "dst", "src_name", "dst_name")
 
 
-def reachability_count(spark: SparkSession, base: str) -> DataFrame:
-    edges = relation_graph(spark, base).where("rel IN ('CUSTOMER_OF', 'DEPENDS_ON')")
+def reachability_count(spark: SparkSession, base: str, rows=resolved_mentions) -> DataFrame:
+    edges = materialize(rows(spark, base).where("rel IN ('CUSTOMER_OF', 'DEPENDS_ON')").select("src", "rel", "dst").distinct())
     return graph.reaching(edges, edges.select(F.col("dst").alias("node")).distinct(), 3)
 
 
-def shortest_path(spark: SparkSession, base: str) -> DataFrame:
+def shortest_path(spark: SparkSession, base: str, rows=resolved_mentions) -> DataFrame:
     """From one company to any of those that nobody but the last few names end with."""
-    edges = relation_graph(spark, base).select("src", "rel", "dst")
+    edges = materialize(rows(spark, base).select("src", "rel", "dst").distinct())
     goals = edges.where("dst < -200").select(F.col("dst").alias("node"))
     found = graph.shortest_path(edges, F.lit(ANCHORS[0]).cast("long"), goals)
     return found.select(F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("path"), "length")
 
 
-def neighborhood_evidence(spark: SparkSession, base: str) -> DataFrame:
-    found = graph.neighbourhood(relation_graph(spark, base), ANCHORS[0], chunks_once(spark, base))
+def neighborhood_evidence(spark: SparkSession, base: str, rows=resolved_mentions) -> DataFrame:
+    found = graph.neighbourhood(upserts.accumulate_edges(rows(spark, base)), ANCHORS[0], chunks_once(spark, base))
     return found.select("src", "rel", "dst", "chunk_id", F.length("text").alias("n_chars"))
 
 
-def graph_stats(spark: SparkSession, base: str) -> DataFrame:
-    """Nodes per label and edges per type."""
+def graph_stats(spark: SparkSession, base: str, rows=resolved_mentions) -> DataFrame:
+    """Nodes per label, those of the service itself (labels with its prefix) aside, and edges per type."""
     t = lambda n: table(spark, base, n)
     count = lambda label, df, key: df.where(F.col(key).isNotNull()).agg(F.countDistinct(key).alias("n")).select(F.lit(label).alias("label"), "n")
     parts = [
@@ -121,18 +127,30 @@ def graph_stats(spark: SparkSession, base: str) -> DataFrame:
         count("FilingSection", t("chunks").withColumn("k", F.when(F.col("accession_no").isNotNull() & F.col("section_id").isNotNull(), F.concat_ws(":", "accession_no", "section_id"))), "k"),
         count("EvidenceSpan", t("chunks"), "chunk_id"), count("RiskFactor", t("risk_factors"), "risk_id"),
         count("Product", t("extractions").select(F.explode("products").alias("p")).select("p.name"), "name"),
+        count("SvcEvent", t("events"), "event_id"),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.union(relation_graph(spark, base).groupBy(F.col("rel").alias("label")).agg(F.count("*").alias("n")))
+    edges = rows(spark, base).select("src", "rel", "dst").distinct().groupBy(F.col("rel").alias("label")).agg(F.count("*").alias("n"))
+    return out.where(~F.col("label").startswith("Svc")).union(edges)
+
+
+def entity_ids_assigned(spark: SparkSession, base: str) -> DataFrame:
+    """Numbers for the organisations of the dictionary: their own, or -1, -2, ... by name for those without one.
+
+    The dictionary is a list of fixed size, so one task may number it.
+    """
+    rows = table(spark, base, "canonical_entities").groupBy("name").agg(F.max("cik").alias("cik"))
+    missing = rows.where("cik IS NULL").withColumn("entity", -F.row_number().over(Window.orderBy("name")).cast("long"))
+    return rows.where("cik IS NOT NULL").select("name", F.col("cik").alias("entity")).union(missing.select("name", "entity"))
 
 
 def exposure_screening(spark: SparkSession, base: str) -> DataFrame:
     """Companies and notices that share a topic: risk texts against rule notices, by topic keywords."""
     risks = table(spark, base, "risk_factors").select("cik", extracted_category(F.col("category")).alias("category"), "chunk_id", F.col("evidence_quote").alias("text"))
     exposed = mentions.exposure_text(risks.where("cik IS NOT NULL"))
-    rules = table(spark, base, "documents").where("source = 'rule_notices' AND text IS NOT NULL").select(F.col("doc_id").alias("rule_id"), F.col("text").alias("title"), F.lit("").alias("text"))
+    rules = table(spark, base, "documents").where((tidy_code(F.col("source")) == "rule_notices") & F.col("text").isNotNull()).select(F.col("doc_id").alias("rule_id"), F.col("text").alias("title"), F.lit("").alias("text"))
     return mentions.cooccurrences(exposed, rules, SCREENED).select("cik", "rule_id", "topic")
 
 
@@ -150,7 +168,7 @@ def mention_counts(spark: SparkSession, base: str) -> DataFrame:
 
 
 def detect_anchors(spark: SparkSession, base: str) -> DataFrame:
-    questions = table(spark, base, "documents").where("lang = 'en' AND text IS NOT NULL").select(F.col("doc_id").alias("question_id"), F.col("text").alias("question"))
+    questions = table(spark, base, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("question_id"), F.col("text").alias("question"))
     return mentions.anchors(questions, table(spark, base, "canonical_entities"), default=ANCHORS[0])
 
 
@@ -234,30 +252,31 @@ _COMPARABLE = "trim(lower(regexp_replace({0}, '[\\s\\x{{00A0}}\\x{{2000}}-\\x{{2
 _BOTH = "both_ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges)"
 _ANCHORED = ", ".join(map(str, ANCHORS))
 
+_GRAPH = (edge_upsert_accumulate, edge_merge, k_hop_edges, reachability_count, shortest_path, neighborhood_evidence, graph_stats)
 QUERIES = {f.__name__: f for f in (
-    edge_upsert_accumulate, edge_merge, edge_create_once, k_hop_edges, reachability_count, shortest_path, neighborhood_evidence, graph_stats, exposure_screening,
+    *_GRAPH, edge_create_once, entity_ids_assigned, exposure_screening,
     mention_edges, mention_counts, detect_anchors, quote_gate, extraction_gate, category_normalize, category_mapping, category_rewrite, entity_resolution,
     resolution_report, unresolved_top, relation_types, product_types,
-)}
+)} | {f"{f.__name__}_as_spelled": functools.partial(f, rows=relation_mentions) for f in _GRAPH}
 SQL = {
-    "edge_upsert_accumulate": f"WITH {EDGES} SELECT src, rel, dst, start_date, array_to_string(ids, ',') AS ids, quote FROM edges",
-    "edge_merge": f"""WITH {EDGES}, part AS (SELECT *, coalesce(date >= DATE '2020-01-01', true) AS late FROM rm WHERE date IS NOT NULL),
+    "edge_upsert_accumulate_as_spelled": f"WITH {EDGES} SELECT src, rel, dst, start_date, array_to_string(ids, ',') AS ids, quote FROM edges",
+    "edge_merge_as_spelled": f"""WITH {EDGES}, part AS (SELECT *, coalesce(date >= DATE '2020-01-01', true) AS late FROM rm WHERE date IS NOT NULL),
       pf AS (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY src, rel, dst, chunk_id, late ORDER BY date, quote NULLS FIRST) = 1)
       SELECT src, rel, dst, min(date) AS start_date, count(DISTINCT chunk_id) AS n_ids, first(quote ORDER BY late, date, chunk_id, quote NULLS FIRST) AS quote FROM pf GROUP BY 1, 2, 3""",
     "edge_create_once": "SELECT cik, risk_id, min(filing_date) AS start_date FROM risk_factors WHERE risk_id IS NOT NULL AND cik IS NOT NULL GROUP BY 1, 2",
-    "k_hop_edges": f"""WITH {EDGES}, near AS (SELECT unnest([{_ANCHORED}]) AS n UNION SELECT b FROM (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges) WHERE a IN ({_ANCHORED}))
-      SELECT DISTINCT src, rel, dst, s.name AS src_name, d.name AS dst_name FROM edges JOIN canonical_entities s ON src = s.entity_id JOIN canonical_entities d ON dst = d.entity_id
+    "k_hop_edges_as_spelled": f"""WITH {EDGES}, near AS (SELECT unnest([{_ANCHORED}]) AS n UNION SELECT b FROM (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges) WHERE a IN ({_ANCHORED}))
+      SELECT DISTINCT src, rel, dst, s.name AS src_name, d.name AS dst_name FROM edges LEFT JOIN canonical_entities s ON src = s.entity_id LEFT JOIN canonical_entities d ON dst = d.entity_id
       WHERE src IN (SELECT n FROM near) OR dst IN (SELECT n FROM near)""",
-    "reachability_count": f"""WITH {EDGES}, e AS (SELECT DISTINCT src, dst FROM edges WHERE rel IN ('CUSTOMER_OF', 'DEPENDS_ON')),
+    "reachability_count_as_spelled": f"""WITH {EDGES}, e AS (SELECT DISTINCT src, dst FROM edges WHERE rel IN ('CUSTOMER_OF', 'DEPENDS_ON')),
       one AS (SELECT dst AS t, src AS s FROM e), two AS (SELECT one.t, e.src AS s FROM one JOIN e ON e.dst = one.s), three AS (SELECT two.t, e.src AS s FROM two JOIN e ON e.dst = two.s)
       SELECT x.t AS target, count(DISTINCT s) FILTER (s <> x.t) AS sources FROM (SELECT * FROM one UNION SELECT * FROM two UNION SELECT * FROM three) x GROUP BY 1""",
-    "shortest_path": f"""WITH RECURSIVE {EDGES}, {_BOTH},
+    "shortest_path_as_spelled": f"""WITH RECURSIVE {EDGES}, {_BOTH},
       walk AS (SELECT {ANCHORS[0]}::BIGINT AS node, [{ANCHORS[0]}::BIGINT] AS path UNION ALL
         SELECT b, list_append(path, b) FROM walk JOIN both_ways ON node = a WHERE len(path) <= 4 AND NOT list_contains(path, b) AND node >= -200)
       SELECT array_to_string(path, '>') AS path, len(path) - 1 AS length FROM walk WHERE node < -200 AND node IN (SELECT dst FROM edges) ORDER BY len(path), walk.path LIMIT 1""",
-    "neighborhood_evidence": f"""WITH {EDGES}, {CHUNKS}, x AS (SELECT src, rel, dst, unnest(ids) AS chunk_id FROM edges WHERE src = {ANCHORS[0]} OR dst = {ANCHORS[0]})
+    "neighborhood_evidence_as_spelled": f"""WITH {EDGES}, {CHUNKS}, x AS (SELECT src, rel, dst, unnest(ids) AS chunk_id FROM edges WHERE src = {ANCHORS[0]} OR dst = {ANCHORS[0]})
       SELECT src, rel, dst, chunk_id, length(text) AS n_chars FROM x JOIN chunks_once USING (chunk_id)""",
-    "graph_stats": f"""WITH {EDGES} SELECT 'Company' AS label, count(DISTINCT entity_id) AS n FROM canonical_entities
+    "graph_stats_as_spelled": f"""WITH {EDGES} SELECT 'Company' AS label, count(DISTINCT entity_id) AS n FROM canonical_entities
       UNION ALL SELECT 'Filing', count(DISTINCT accession_no) FROM filings UNION ALL SELECT 'FilingSection', count(DISTINCT accession_no || ':' || section_id) FROM chunks
       UNION ALL SELECT 'EvidenceSpan', count(DISTINCT chunk_id) FROM chunks UNION ALL SELECT 'RiskFactor', count(DISTINCT risk_id) FROM risk_factors
       UNION ALL SELECT 'Product', count(DISTINCT p.name) FROM (SELECT unnest(products) AS p FROM extractions) UNION ALL SELECT rel, count(*) FROM edges GROUP BY 1""",
@@ -265,13 +284,15 @@ SQL = {
       x AS (SELECT cik, left(string_agg(' ' || coalesce(text, ''), '' ORDER BY chunk_id, text), 8000) AS text FROM
         (SELECT * FROM picked QUALIFY row_number() OVER (PARTITION BY cik ORDER BY chunk_id NULLS FIRST, text NULLS FIRST) <= 5) GROUP BY 1),
       topics AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{t}', {list(w)})" for i, (t, w) in enumerate(SCREENED.items()))}) v(i, topic, words)),
-      r AS (SELECT doc_id, v.i, v.topic, v.words FROM documents d JOIN topics v ON contains(lower(d.text), v.topic) WHERE source = 'rule_notices')
+      r AS (SELECT doc_id, v.i, v.topic, v.words FROM documents d JOIN topics v ON contains(lower(d.text), v.topic) WHERE {tidy_code_sql('source')} = 'rule_notices')
       SELECT cik, doc_id AS rule_id, arg_min(r.topic, r.i) AS topic FROM x JOIN r ON len(list_filter(words, lambda w: contains(lower(x.text), w))) > 0 GROUP BY 1, 2""",
     "mention_edges": f"WITH {CHUNKS}, {_ALIAS} {_found('chunks_once', 'chunk_id', 'text')}",
     "mention_counts": f"WITH {CHUNKS}, {_ALIAS}, m AS ({_found('chunks_once', 'chunk_id', 'text')}) SELECT chunk_id, string_agg(entity_id::VARCHAR, ',' ORDER BY entity_id) AS ids FROM m GROUP BY 1",
-    "detect_anchors": f"""WITH q AS (SELECT doc_id AS question_id, text AS question FROM documents WHERE lang = 'en' AND text IS NOT NULL), {_ALIAS}, m AS MATERIALIZED ({_found('q', 'question_id', 'question')})
+    "detect_anchors": f"""WITH q AS (SELECT doc_id AS question_id, text AS question FROM documents WHERE text IS NOT NULL), {_ALIAS}, m AS MATERIALIZED ({_found('q', 'question_id', 'question')})
       SELECT question_id, entity_id, name FROM m JOIN canonical_entities USING (entity_id)
       UNION ALL SELECT question_id, {ANCHORS[0]}, (SELECT name FROM canonical_entities WHERE entity_id = {ANCHORS[0]}) FROM q ANTI JOIN m USING (question_id)""",
+    "entity_ids_assigned": """WITH e AS (SELECT name, max(cik) AS cik FROM canonical_entities GROUP BY 1)
+      SELECT name, cik AS entity FROM e WHERE cik IS NOT NULL UNION ALL SELECT name, -row_number() OVER (ORDER BY name) FROM e WHERE cik IS NULL""",
     "quote_gate": f"""WITH {CHUNKS} SELECT risk_id, max(contains({_COMPARABLE.format('c.text')}, {_COMPARABLE.format('evidence_quote')})) AS supported
       FROM risk_factors r JOIN chunks_once c ON r.chunk_id = c.chunk_id GROUP BY 1""",
     "extraction_gate": f"""WITH {CHUNKS}, x AS (SELECT record_no, relations, risk_factors, {_COMPARABLE.format('c.text')} AS t FROM extractions e LEFT JOIN chunks_once c ON e.chunk_id = c.chunk_id),

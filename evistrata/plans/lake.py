@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from evistrata.functions.dates import any_date
+from evistrata.functions.text import tidy_form, tidy_ticker
 from evistrata.functions.vectors import norm
 from evistrata.operators import facts, scopes, upserts
 from evistrata.session import table
@@ -23,6 +24,18 @@ def any_date_sql(x: str) -> str:
     )
 
 
+def tidy_form_sql(x: str) -> str:
+    return f"nullif(regexp_replace(regexp_replace(upper(trim({x})), '^FORM\\s+', ''), '^(\\d+)[\\s-]*([A-Z]+)', '\\1-\\2'), '')"
+
+
+def tidy_ticker_sql(x: str) -> str:
+    return f"nullif(upper(trim({x})), '')"
+
+
+def tidy_code_sql(x: str) -> str:
+    return f"nullif(regexp_replace(lower(trim(regexp_replace({x}, '[\\s\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]+', ' ', 'g'))), '[\\s_-]+', '_', 'g'), '')"
+
+
 def chunks_once(spark: SparkSession, base: str) -> DataFrame:
     """Chunks without repeated deliveries: the first by time of ingestion."""
     return upserts.last_per_key(table(spark, base, "chunks").withColumn("__t", -F.unix_micros(F.col("ingested_at").cast("timestamp"))), ["chunk_id"], [F.col("__t"), F.col("n_tokens")]).drop("__t")
@@ -36,12 +49,14 @@ def _metrics(spark: SparkSession, base: str) -> DataFrame:
 
 
 METRICS = f"""metrics AS (
-  SELECT cik, metric, concept, period_start, period_end, val, unit, accn, filed FROM (
+  SELECT cik, metric, concept, period_start, period_end, val, unit,
+    first_value(accn IGNORE NULLS) OVER (PARTITION BY cik, metric, period_end, unit ORDER BY filed NULLS LAST, accn NULLS LAST, concept, val, ticker NULLS FIRST, period_start
+      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS accn, filed FROM (
     SELECT cik, ticker, metric, f.concept, {any_date_sql('period_start')} AS period_start, {any_date_sql('period_end')} AS period_end, val,
       upper(trim(unit)) AS unit, accn, {any_date_sql('filed')} AS filed
-    FROM xbrl_facts f JOIN concept_map m ON f.concept = m.concept WHERE form IN ('10-K', '20-F') AND val IS NOT NULL)
+    FROM xbrl_facts f JOIN concept_map m ON f.concept = m.concept WHERE form IN ('10-K', '20-F') AND val IS NOT NULL) facts
   WHERE datediff('day', period_start, period_end) > 300
-  QUALIFY row_number() OVER (PARTITION BY cik, metric, period_end, unit ORDER BY filed NULLS LAST, accn NULLS LAST, concept, val, ticker NULLS FIRST, period_start) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY cik, metric, period_end, unit ORDER BY filed NULLS LAST, facts.accn NULLS LAST, concept, val, ticker NULLS FIRST, period_start) = 1)"""
 
 
 def metric_first_disclosure(spark: SparkSession, base: str) -> DataFrame:
@@ -64,12 +79,13 @@ def filing_scope(spark: SparkSession, base: str) -> DataFrame:
 
 
 SCOPE = f"""WITH {CHUNKS},
-filed AS (SELECT ticker, form, accession_no, min(filing_date) AS filed FROM chunks_once WHERE form IN ('10-K', '20-F', '10-Q') GROUP BY 1, 2, 3),
+tidy AS (SELECT * REPLACE ({tidy_form_sql('form')} AS form, {tidy_ticker_sql('ticker')} AS ticker, {any_date_sql('filing_date')} AS filing_date) FROM chunks_once),
+filed AS (SELECT ticker, form, accession_no, min(filing_date) AS filed FROM tidy WHERE form IN ('10-K', '20-F', '10-Q') GROUP BY 1, 2, 3),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY ticker, form ORDER BY filed DESC NULLS LAST, accession_no DESC) AS r FROM filed WHERE form <> '10-Q'),
 wanted AS (
   SELECT ticker, form, accession_no, CASE WHEN r > 1 THEN CASE form WHEN '10-K' THEN 'I.1A' ELSE 'I.3' END END AS only_section FROM ranked WHERE r <= 2
   UNION ALL SELECT ticker, '10-Q', max(accession_no), NULL FROM filed WHERE form = '10-Q' GROUP BY ticker),
-scope AS (SELECT c.* FROM chunks_once c JOIN wanted w ON c.ticker = w.ticker AND c.form = w.form AND c.accession_no = w.accession_no
+scope AS (SELECT c.* FROM tidy c JOIN wanted w ON c.ticker = w.ticker AND c.form = w.form AND c.accession_no = w.accession_no
   WHERE only_section IS NULL OR section_id = only_section)"""
 
 
@@ -96,9 +112,18 @@ def filing_last_write(spark: SparkSession, base: str) -> DataFrame:
 
 
 def filing_first_write(spark: SparkSession, base: str) -> DataFrame:
+    """Filings of two runs: what the first wrote stays, whatever the second brings for it."""
     rows = table(spark, base, "filings").where("accession_no IS NOT NULL").select("accession_no", "ticker", "form", "size_bytes", "fetched_at")
-    old = rows.limit(0)
-    return upserts.insert_new(old, rows, ["accession_no"], [F.col("fetched_at"), F.col("size_bytes"), F.col("form"), F.col("ticker")]).select("accession_no", "ticker", "form", "size_bytes")
+    order = [F.col("fetched_at"), F.col("size_bytes"), F.col("form"), F.col("ticker")]
+    early = F.coalesce(F.col("fetched_at") < F.lit("2025-01-02").cast("timestamp_ntz"), F.lit(False))
+    old = upserts.insert_new(rows.limit(0), rows.where(early), ["accession_no"], order)
+    return upserts.insert_new(old, rows.where(~early), ["accession_no"], order).select("accession_no", "ticker", "form", "size_bytes")
+
+
+def ticker_ciks(spark: SparkSession, base: str) -> DataFrame:
+    """The lookup from ticker to company number: the one of the latest filing."""
+    rows = table(spark, base, "filings").select(tidy_ticker(F.col("ticker")).alias("ticker"), "cik", any_date(F.col("filing_date")).alias("day"), "accession_no").where("ticker IS NOT NULL AND cik IS NOT NULL")
+    return upserts.last_per_key(rows, ["ticker"], [F.col("day"), F.col("accession_no"), F.col("cik")]).select("ticker", "cik")
 
 
 def ticker_filled(spark: SparkSession, base: str) -> DataFrame:
@@ -126,7 +151,7 @@ def citation_ids_known(spark: SparkSession, base: str) -> DataFrame:
 
 
 def chunk_form_pivot(spark: SparkSession, base: str) -> DataFrame:
-    rows = chunks_once(spark, base).where("form IN ('10-K', '10-Q', '20-F', '8-K')")
+    rows = chunks_once(spark, base).withColumn("form", tidy_form(F.col("form"))).where("form IN ('10-K', '10-Q', '20-F', '8-K')")
     return rows.groupBy("section_id").pivot("form", ["10-K", "10-Q", "20-F", "8-K"]).count().na.fill(0).select(
         "section_id", F.col("10-K").alias("n_10k"), F.col("10-Q").alias("n_10q"), F.col("20-F").alias("n_20f"), F.col("8-K").alias("n_8k")
     )
@@ -165,7 +190,7 @@ def vector_lengths(spark: SparkSession, base: str) -> DataFrame:
 _FILINGS = f"(SELECT * REPLACE ({any_date_sql('filing_date')} AS filing_date) FROM filings WHERE ticker IS NOT NULL QUALIFY row_number() OVER (PARTITION BY accession_no ORDER BY fetched_at DESC NULLS LAST, size_bytes DESC NULLS LAST) = 1)"
 QUERIES = {f.__name__: f for f in (
     metric_first_disclosure, metric_lookup_topk, metric_growth, filing_scope, cost_estimate, extraction_resume, filings_selected, filing_last_write, filing_first_write,
-    ticker_filled, provenance_lookup, citation_ids_known, chunk_form_pivot, section_kinds, prose_about_supply, chunk_sample, facts_flattened, vector_lengths,
+    ticker_ciks, ticker_filled, provenance_lookup, citation_ids_known, chunk_form_pivot, section_kinds, prose_about_supply, chunk_sample, facts_flattened, vector_lengths,
 )}
 SQL = {
     "metric_first_disclosure": f"WITH {METRICS} SELECT * FROM metrics",
@@ -182,6 +207,8 @@ SQL = {
       QUALIFY row_number() OVER (PARTITION BY accession_no ORDER BY coalesce(fetched_at >= TIMESTAMP '2025-01-02', false) DESC, fetched_at DESC NULLS LAST, size_bytes DESC NULLS LAST, form DESC NULLS LAST) = 1""",
     "filing_first_write": """SELECT accession_no, ticker, form, size_bytes FROM filings WHERE accession_no IS NOT NULL
       QUALIFY row_number() OVER (PARTITION BY accession_no ORDER BY fetched_at NULLS LAST, size_bytes NULLS LAST, form NULLS LAST, ticker NULLS LAST) = 1""",
+    "ticker_ciks": f"""SELECT {tidy_ticker_sql('ticker')} AS ticker, cik FROM filings WHERE {tidy_ticker_sql('ticker')} IS NOT NULL AND cik IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY {tidy_ticker_sql('ticker')} ORDER BY {any_date_sql('filing_date')} DESC NULLS LAST, accession_no DESC NULLS LAST, cik DESC) = 1""",
     "ticker_filled": """SELECT accession_no, coalesce(f.ticker, c.ticker) AS ticker, coalesce(f.cik, c.cik) AS cik
       FROM (SELECT accession_no, max(ticker) AS ticker, max(cik) AS cik FROM filings WHERE accession_no IS NOT NULL GROUP BY 1) f
       FULL JOIN (SELECT accession_no, max(ticker) AS ticker, max(cik) AS cik FROM chunks WHERE accession_no IS NOT NULL GROUP BY 1) c USING (accession_no)""",
@@ -191,8 +218,8 @@ SQL = {
       SELECT c.chunk_id, section_title, c.accession_no, chain.form, chain.name, CASE WHEN m.chunk_id IS NOT NULL THEN coalesce(companies, '') END AS companies
       FROM chunks_once c LEFT JOIN chain ON c.accession_no = chain.accession_no LEFT JOIN m ON c.chunk_id = m.chunk_id""",
     "citation_ids_known": "SELECT count(DISTINCT chunk_id) AS cited, count(DISTINCT chunk_id) FILTER (chunk_id IN (SELECT chunk_id FROM chunks)) AS known FROM risk_factors",
-    "chunk_form_pivot": f"""WITH {CHUNKS} SELECT section_id, count(*) FILTER (form = '10-K') AS n_10k, count(*) FILTER (form = '10-Q') AS n_10q, count(*) FILTER (form = '20-F') AS n_20f,
-      count(*) FILTER (form = '8-K') AS n_8k FROM chunks_once WHERE form IN ('10-K', '10-Q', '20-F', '8-K') GROUP BY 1""",
+    "chunk_form_pivot": f"""WITH {CHUNKS}, tidy AS (SELECT section_id, {tidy_form_sql('form')} AS form FROM chunks_once) SELECT section_id, count(*) FILTER (form = '10-K') AS n_10k, count(*) FILTER (form = '10-Q') AS n_10q, count(*) FILTER (form = '20-F') AS n_20f,
+      count(*) FILTER (form = '8-K') AS n_8k FROM tidy WHERE form IN ('10-K', '10-Q', '20-F', '8-K') GROUP BY 1""",
     "section_kinds": f"""WITH {CHUNKS} SELECT section_id, count(*) AS n_chunks, count(*) FILTER (kind = 'table') AS n_tables,
       sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')))::BIGINT AS words, count(DISTINCT ticker) AS tickers FROM chunks_once GROUP BY 1""",
     "prose_about_supply": f"WITH {CHUNKS} SELECT ticker, section_id, count(*) AS n FROM chunks_once WHERE kind = 'prose' AND regexp_matches(text, '(?i)suppl|foundr') GROUP BY 1, 2",

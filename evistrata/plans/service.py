@@ -55,10 +55,14 @@ def rate_limit(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("event_id", "user_id", "allowed")
 
 
-def rate_limit_sparse(spark: SparkSession, base: str) -> DataFrame:
-    """One event per key within a window that is shorter than most gaps: a case that SQL can follow."""
-    rows = limits.rate_limited(table(spark, base, "events").select("event_id", "ts", "user_id"), key="event_id", at="ts", most=1, window_seconds=60, order="event_id")
-    return rows.agg(F.count_if("allowed").alias("allowed"), F.count("*").alias("n"))
+def rate_limit_named(spark: SparkSession, base: str) -> DataFrame:
+    """The limits by name, each over the events of a type: what each accepts and rejects."""
+    rows = None
+    for name, (most, seconds) in limits.LIMITS.items():
+        found = limits.rate_limited(table(spark, base, "events").select("event_id", "ts", "event_type"), key="event_type", at="ts", most=most, window_seconds=seconds, order="event_id")
+        found = found.groupBy("event_type").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("rejected")).withColumn("name", F.lit(name))
+        rows = found if rows is None else rows.unionByName(found)
+    return rows
 
 
 def hourly_values(spark: SparkSession, base: str) -> DataFrame:
@@ -73,8 +77,18 @@ def event_props(spark: SparkSession, base: str) -> DataFrame:
 
 
 _LEDGER = "ledger AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, event_type = 'view' AS cached, CASE WHEN event_type <> 'view' THEN round(value / 1000, 4) END AS cost FROM events)"
+
+
+def _limited_sql(key: str, most: int, seconds: int) -> str:
+    """Decisions event by event: with each key goes the list of the times accepted within the window."""
+    return f"""e AS (SELECT event_id, {key} AS k, epoch_us(ts) AS s, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS rn FROM events WHERE {key} IS NOT NULL AND ts IS NOT NULL),
+  w AS (SELECT event_id, k, rn, true AS allowed, [s] AS held FROM e WHERE rn = 1 UNION ALL
+    SELECT event_id, k, rn, len(near) < {most} AS allowed, CASE WHEN len(near) < {most} THEN list_append(near, s) ELSE near END AS held
+    FROM (SELECT e.event_id, e.k, e.rn, e.s, list_filter(w.held, lambda x: e.s - x <= {seconds * 1_000_000}) AS near FROM w JOIN e ON e.k = w.k AND e.rn = w.rn + 1))"""
+
+
 _KEY = "left(sha256('hybrid|question ' || user_id), 32)"
-QUERIES = {f.__name__: f for f in (ledger_summary, paid_today, daily_ceiling, cache_lookup_ttl, rate_limit, rate_limit_sparse, hourly_values, event_props)}
+QUERIES = {f.__name__: f for f in (ledger_summary, paid_today, daily_ceiling, cache_lookup_ttl, rate_limit, rate_limit_named, hourly_values, event_props)}
 SQL = {
     "ledger_summary": f"""WITH {_LEDGER} SELECT 'all_time' AS scope, count(*) FILTER (NOT cached) AS paid, count(*) FILTER (cached) AS cached, round(sum(coalesce(cost, 0)), 2) AS cost_usd FROM ledger
       UNION ALL SELECT 'today', count(*) FILTER (NOT cached), count(*) FILTER (cached), round(sum(coalesce(cost, 0)), 2) FROM ledger WHERE day = '{TODAY}'""",
@@ -85,7 +99,11 @@ SQL = {
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
       v AS (SELECT * FROM a WHERE curated OR ts > TIMESTAMP '{NOW}' - INTERVAL {TTL_HOURS} HOURS)
       SELECT user_id, v.answer, v.key IS NOT NULL AS hit FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN v ON {_KEY} = v.key""",
-    "rate_limit_sparse": "SELECT count(*) AS allowed, count(*) AS n FROM events WHERE event_id IS NOT NULL AND ts IS NOT NULL",
+    "rate_limit": f"WITH RECURSIVE {_limited_sql('user_id', 5, 86_400)} SELECT event_id, k AS user_id, allowed FROM w",
+    "rate_limit_named": " UNION ALL ".join(
+        f"SELECT * FROM (WITH RECURSIVE {_limited_sql('event_type', most, seconds)} SELECT k AS event_type, count(*) FILTER (allowed) AS allowed, count(*) FILTER (NOT allowed) AS rejected, '{name}' AS name FROM w GROUP BY 1)"
+        for name, (most, seconds) in limits.LIMITS.items()
+    ),
     "hourly_values": "SELECT strftime(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "event_props": "SELECT event_type, sum((props->>'k')::INT)::BIGINT AS k, count((props->>'k')::INT) AS n FROM events GROUP BY 1",
 }

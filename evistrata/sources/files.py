@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from evistrata import schemas
+from evistrata.functions.text import short_hash
 
 
 def read_parquet(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -97,11 +98,23 @@ def merge_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
-    """The HTML of every filing of the manifest, one row per file, joined by its local path."""
-    files = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(folder).select("path", F.col("content").cast("string").alias("html"))
-    # Join on the last part of the path: folders differ between machines, file names do not.
-    name = lambda c: F.element_at(F.split(c, "/"), -1)
-    return manifest.withColumn("file", name(F.col("local_path"))).join(files.withColumn("file", name(F.col("path"))), "file").drop("file", "path")
+    """The HTML of every filing of the manifest, one row per filing, found by its local path.
+
+    Folders differ between machines, so a filing's file is the one of its name whose path ends like the
+    local path for the most parts; of equals the first by path. Only paths are compared, texts join last.
+    """
+    from pyspark.sql import Window
+
+    files = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(folder)
+    parts = lambda c: F.reverse(F.split(c, "/"))
+    rows = manifest.select("accession_no", "local_path").distinct().withColumn("a", parts(F.col("local_path"))).withColumn("file", F.get("a", 0))
+    met = rows.join(files.select("path").withColumn("b", parts(F.col("path"))).withColumn("file", F.get("b", 0)), "file")
+    same = F.zip_with("a", "b", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    alike = F.when(F.array_contains(same, False), F.array_position(same, False) - 1).otherwise(F.size(same))
+    best = Window.partitionBy("accession_no", "local_path").orderBy(F.desc("alike"), "path")
+    found = met.withColumn("alike", alike).withColumn("r", F.row_number().over(best)).where("r = 1").select("accession_no", "local_path", "path")
+    pages = manifest.join(found, ["accession_no", "local_path"])
+    return pages.join(files.select("path", F.col("content").cast("string").alias("html")), "path").drop("path")
 
 
 def select_filings(filings: DataFrame, *, annual_since: int, annual_forms: Sequence[str] = ("10-K", "20-F"), quarterly_forms: Sequence[str] = ("10-Q",)) -> DataFrame:
@@ -120,10 +133,18 @@ def pending(todo: DataFrame, done: DataFrame, *key: str) -> DataFrame:
     return todo.join(done.select(*key).distinct(), list(key), "left_anti")
 
 
-def with_cached_vectors(rows: DataFrame, cache: DataFrame, encode: Callable[[DataFrame], DataFrame], key: str = "chunk_id") -> DataFrame:
-    """``key`` and ``embedding`` of all rows; only keys missing from the cache are encoded."""
-    wanted = rows.select(key).distinct()
-    return cache.join(wanted, key, "left_semi").select(key, "embedding").unionByName(encode(pending(rows, cache, key)).select(key, "embedding"))
+def with_cached_vectors(rows: DataFrame, cache: DataFrame, encode: Callable[[DataFrame], DataFrame], key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """``key`` and ``embedding`` of all rows; only what is missing from the cache is encoded.
+
+    A cache with a ``text_hash`` (``short_hash`` of the text) holds only for texts that are unchanged, and the
+    hash is given again for the next one.
+    """
+    on = [key]
+    if "text_hash" in cache.columns:
+        on, rows = [key, "text_hash"], rows.withColumn("text_hash", short_hash(F.col(text)))
+    wanted = rows.select(*on).distinct()
+    fresh = encode(pending(rows, cache, *on)).select(key, "embedding").join(wanted, key)
+    return cache.join(wanted, on, "left_semi").select(*on, "embedding").unionByName(fresh.select(*on, "embedding"))
 
 
 def retrying(fetch: Callable[..., object], waits: Sequence[float] = (5, 15, 45), sleep: Callable[[float], None] = time.sleep) -> Callable[..., object]:

@@ -56,7 +56,7 @@ def main(args):
     base = "/root/testdata/sf0.01"
     if args and args[-1].startswith("/"):
         base = args.pop()
-    spark = local_session(8)
+    spark = local_session(int(__import__("os").environ.get("ORACLE_CORES", "8")))
     spark.sparkContext.setLogLevel("ERROR")
     queries, sqls, con = e.queries(), e.oracle_sql(), connect(base)
     bad = 0

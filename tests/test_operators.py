@@ -137,6 +137,20 @@ def test_mentions(spark):
     assert values(mentions.anchors(questions, entities, default=2), "question_id", "name") == [(1, "Nvidia"), (2, "AMD")]
 
 
+def test_mentions_by_words_are_the_same(spark, monkeypatch):
+    entities = spark.createDataFrame([(1, "Nvidia", ["NVDA", "x_y"]), (2, "Ångström & Co", ["a.b"]), (3, "...", [])], "entity_id long, name string, aliases array<string>")
+    texts = spark.createDataFrame([("a", "nvda nvdas x_y"), ("b", "ÅNGSTRÖM & CO, a.b"), ("c", "aXb NVDA_"), (None, "nvda"), ("a", "a.b"), ("e", "")], "chunk_id string, text string")
+    one = values(mentions.mentioned(texts, entities), "chunk_id", "entity_id")
+    assert one == [("a", 1), ("a", 2), ("b", 2)] and mentions.mentioned(texts, entities.limit(0)).count() == 0
+    monkeypatch.setattr(mentions, "AUTOMATON_LETTERS", 0)
+    assert values(mentions.mentioned(texts, entities), "chunk_id", "entity_id") == one
+
+
+def test_edges_of_unnamed_nodes_are_kept(spark):
+    edges, names = spark.createDataFrame([(1, "R", 2), (1, "R", 9)], "src long, rel string, dst long"), spark.createDataFrame([(1, "a"), (2, "b")], "cik long, name string")
+    assert {(r.src_name, r.dst_name) for r in graph.labelled(edges, names, key="cik", name="name").collect()} == {("a", "b"), ("a", None)}
+
+
 def test_cooccurrence_takes_the_first_topic(spark):
     companies = spark.createDataFrame([(1, "our GPU and accelerator sales are on the entity list"), (2, "nothing")], "cik long, text string")
     rules = spark.createDataFrame([("r", "Additions to the Entity List; advanced computing", ""), ("s", "Advanced Computing rule", "")], "rule_id string, title string, text string")
@@ -156,6 +170,38 @@ def test_resolution(spark):
     assert values(resolution.unresolved_names(rows), "name", "n") == [("Intel", 1)]
 
 
+def test_resolution_is_that_of_all_aliases(spark):
+    from difflib import SequenceMatcher
+
+    r = random.Random(2)
+    known = ["".join(r.choice("abcde ") for _ in range(r.randrange(4, 14))).strip() or "a" for _ in range(80)]
+    typed = ["".join(c for c in r.choice(known) if r.random() > 0.06) + r.choice(["", "", "e"]) for _ in range(120)]
+    entities = spark.createDataFrame([(i, k, []) for i, k in enumerate(known)], "entity_id long, name string, aliases array<string>")
+    lookup = sorted((x.alias, x.name) for x in resolution.alias_lookup(entities).collect())
+    raw = spark.createDataFrame([(t,) for t in typed], "raw string").withColumn("a", resolution.comparable_name(F.col("raw")))
+    want = {}
+    for x in raw.collect():
+        ratios = [(SequenceMatcher(None, x.a, alias).ratio(), -i, name) for i, (alias, name) in enumerate(lookup)]
+        exact = dict(lookup).get(x.a)
+        want[x.raw] = exact or (max(ratios)[2] if x.a and max(ratios)[0] >= 0.9 else None)
+    assert dict(values(resolution.resolve(raw.select("raw"), entities), "raw", "canonical")) == want
+
+
+def test_lineages_do_not_hang_on_lengths(spark):
+    r = random.Random(3)
+    vectors = [[r.gauss(0, 1) for _ in range(5)] for _ in range(60)]
+    longer = [[x * f for x in v] for v in vectors for f in [r.uniform(0.01, 90)]]
+    assert temporal.greedy_lineages(vectors, 0.6).tolist() == temporal.greedy_lineages(longer, 0.6).tolist()
+
+
+def test_search_in_blocks(spark):
+    r = random.Random(4)
+    items = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(50)], "id int, embedding array<double>")
+    queries = items.where("id < 9").select(F.col("id").alias("q"), "embedding")
+    rows = lambda **x: values(vector_search.top_k_each(items, queries, 3, key="id", query_key="q", **x), "q", "id", "rank")
+    assert rows() == rows(block_bytes=200) and len(rows()) == 27
+
+
 def plain_lineages(vectors, threshold):
     groups = []
     for v in vectors:

@@ -4,6 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from evistrata import schemas
+from evistrata.functions.text import short_hash
 from evistrata.sources import files
 from evistrata.streaming import limits
 
@@ -40,6 +41,10 @@ def test_manifest_and_pages(spark, tmp_path):
     (tmp_path / "html").mkdir()
     (tmp_path / "html" / "f.htm").write_text("<p>x</p>")
     assert [r.html for r in files.read_pages(spark, manifest, str(tmp_path / "html")).collect()] == ["<p>x</p>"]
+    for folder in ("b", "place"):  # the same name in other folders
+        (tmp_path / "html" / folder).mkdir()
+        (tmp_path / "html" / folder / "f.htm").write_text(folder)
+    assert [r.html for r in files.read_pages(spark, manifest, str(tmp_path / "html")).collect()] == ["place"]
     new = spark.createDataFrame([("T", "1"), ("T", "2")], "ticker string, accession_no string")
     merged = files.merge_manifest(manifest, schemas.conform(new, schemas.LAKE["manifest"]))
     files.write_manifest(merged, str(tmp_path / "out"))
@@ -68,6 +73,10 @@ def test_vector_cache_and_retries(spark):
 
     found = {r.chunk_id: r.embedding for r in files.with_cached_vectors(rows, cache, encode).collect()}
     assert found == {"a": [1.0], "b": [3.0]} and asked == [["b"]]
+    texts = rows.withColumn("text", F.col("chunk_id"))
+    held = texts.withColumns({"text_hash": short_hash(F.lit("a")), "embedding": F.array(F.lit(1.0).cast("float"))}).drop("text")
+    found = files.with_cached_vectors(texts, held, encode)  # the text of b is another than was encoded
+    assert {r.chunk_id: r.embedding for r in found.collect()} == {"a": [1.0], "b": [3.0]} and found.columns == ["chunk_id", "text_hash", "embedding"]
     calls, pauses = [], []
 
     def fetch():
