@@ -33,6 +33,8 @@ BLOCK, ASKED = 49_152, 131_072
 RECALL, WIDEST = 0.997, 64
 #: Leaves that a traversal opens before it settles on the best of them.
 LOOKED, WIDER = 16, 2
+#: What a vector does in a leaf: it is stored there, asks there, or both.
+HELD, ASKS, BOTH = 0, 1, 2
 #: Similarities so near to the limit are computed again in double precision.
 MARGIN = 1e-5
 
@@ -238,11 +240,11 @@ def nearest(
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, (blocks, parts) = shipped.value, shares.value
-        schema = pa.schema([("leaf", pa.int32()), ("block", pa.int32()), ("part", pa.int32()), ("asks", pa.bool_()), ("id", pa.int64()), ("v", pa.binary())])
+        schema = pa.schema([("leaf", pa.int32()), ("block", pa.int32()), ("part", pa.int32()), ("role", pa.int8()), ("id", pa.int64()), ("v", pa.binary())])
 
-        def rows_of(row, leaf, block, part, asks: bool, mine, whole) -> pa.RecordBatch:
+        def rows_of(row, leaf, block, part, role, mine, whole) -> pa.RecordBatch:
             columns = [pa.array(x.astype(np.int32)) for x in (leaf, block, part)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(row), asks)), pa.array(mine[row]), whole.take(pa.array(row))], schema=schema)
+            return pa.RecordBatch.from_arrays([*columns, pa.array(role.astype(np.int8)), pa.array(mine[row]), whole.take(pa.array(row))], schema=schema)
 
         def repeated(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             at = np.repeat(np.arange(len(counts)), counts)
@@ -258,17 +260,20 @@ def nearest(
                 spread = mine.view(np.uint64) >> np.uint64(7)
                 # A vector is stored in one block of its leaf, for each part of the questions ...
                 home = leaves[:, 0]
+                own_block, own_part = spread % blocks[home].astype(np.uint64), spread % parts[home].astype(np.uint64)
                 at, to_part = repeated(parts[home])
-                yield rows_of(at, home[at], (spread % blocks[home].astype(np.uint64))[at], to_part, False, mine, whole)
-                # ... and is in one part of the questions to a leaf, for each block.
+                yield rows_of(at, home[at], own_block[at], to_part, np.where(to_part == own_part[at], BOTH, HELD), mine, whole)
+                # ... and is in one part of the questions to a leaf, for each block; where it is stored it asks as it is.
                 row, col = np.nonzero(leaves >= 0)
                 to = leaves[row, col]
                 at, to_block = repeated(blocks[to])
-                yield rows_of(row[at], to[at], to_block, (spread[row] % parts[to].astype(np.uint64))[at], True, mine, whole)
+                other = (col[at] > 0) | (to_block != own_block[row[at]])
+                at, to_block = at[other], to_block[other]
+                yield rows_of(row[at], to[at], to_block, (spread[row] % parts[to].astype(np.uint64))[at], np.full(len(at), ASKS), mine, whole)
 
     def compare(group: pa.Table) -> pa.Table:
-        asks = group["asks"].combine_chunks()
-        held, put = group.filter(pc.invert(asks)), group.filter(asks)
+        role = group["role"].combine_chunks()
+        held, put = group.filter(pc.not_equal(role, ASKS)), group.filter(pc.not_equal(role, HELD))
         ids, v = held["id"].to_numpy(), _matrix(held["v"].combine_chunks(), dims)
         asked = put["id"].to_numpy()
         out, back = [], _none()
@@ -283,7 +288,7 @@ def nearest(
         a, b, s = (np.concatenate(x) for x in zip(back, *out))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
 
-    placed = distinct.mapInArrow(place, "leaf int, block int, part int, asks boolean, id long, v binary")
+    placed = distinct.mapInArrow(place, "leaf int, block int, part int, role byte, id long, v binary")
     met = placed.groupBy("leaf", "block", "part").applyInArrow(compare, "a long, b long, similarity double")
     # A pair that is met counts for both ends; it is lost only if neither asked where the other is.
     ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
