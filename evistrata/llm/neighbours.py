@@ -290,9 +290,9 @@ def nearest(
 
     placed = distinct.mapInArrow(place, "leaf int, block int, part int, role byte, id long, v binary")
     met = placed.groupBy("leaf", "block", "part").applyInArrow(compare, "a long, b long, similarity double")
-    # A pair that is met counts for both ends; it is lost only if neither asked where the other is.
-    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-    met = met.select(ways.alias("w"), "similarity").groupBy("w.a", "w.b").agg(F.max("similarity").alias("similarity"))
+    # A pair is lost for an end only if neither asked where the other is. A vector has few rows, so those of
+    # each are brought together once, and both its repeated pairs and its best are found there.
+    met = met.repartition("a").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
     edges = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return Neighbours(edges, members, visited, reached, tree.leaves)
