@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from evistrata.functions.text import tidy_code, tidy_form, tidy_ticker  # noqa: F401
 from evistrata.llm import bpe
 
 
@@ -24,29 +25,11 @@ def token_count(text: Column, vocabulary: str = bpe.VOCABULARY) -> Column:
     return count(text)
 
 
-def tidy_code(value: Column) -> Column:
-    """Letter case, blanks and separators of a source or language code made alike; blank is null."""
-    tidy = F.regexp_replace(F.lower(F.trim(F.regexp_replace(value, r"(?U)[\s]+", " "))), r"[\s_-]+", "_")
-    return F.when(tidy != "", tidy)
-
-
 def tidy_lang(value: Column) -> Column:
     """The bare language of a tag such as ``EN`` or ``de-DE``."""
     return F.split(tidy_code(value), "_")[0]
 
 
-def tidy_ticker(value: Column) -> Column:
-    tidy = F.upper(F.trim(value))
-    return F.when(tidy != "", tidy)
-
-
-def tidy_form(value: Column) -> Column:
-    """``Form 10-k``, ``10K`` and ``10-K `` are 10-K; amendments (``/A``) stay apart."""
-    bare = F.regexp_replace(F.upper(F.trim(value)), r"^FORM\s+", "")
-    tidy = F.regexp_replace(bare, r"^(\d+)[\s-]*([A-Z]+)", "$1-$2")
-    return F.when(tidy != "", tidy)
-
-
 def suspect_counts(rows: DataFrame, key: str = "chunk_id", text: str = "text", stored: str = "n_tokens") -> DataFrame:
     """Distinct keys whose stored count is null, not positive, or off by more than a factor of two.
 
