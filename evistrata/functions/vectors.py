@@ -17,8 +17,8 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector at length one; null for a null or all-zero vector."""
-    length = norm(v)
-    return F.when(length > 0, F.transform(v, lambda x: x.cast("double") / length))
+    # The length is bound as an element of an array, else it would be computed again for every entry.
+    return F.get(F.transform(F.array(norm(v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))), 0)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evistrata.functions.dates import any_date
 from evistrata.functions.text import tidy_form
-from evistrata.functions.vectors import unit
 from evistrata.operators import temporal, vector_search
 from evistrata.plans.lake import any_date_sql, tidy_form_sql
 from evistrata.session import table
@@ -17,8 +16,7 @@ DAY = "2021-06-30"
 
 
 def annual_risks(spark: SparkSession, base: str) -> DataFrame:
-    """Risks with a usable vector that annual filings disclose: company, risk, evidence, section, filing.
-    The vectors are scaled to length one."""
+    """Risks with a usable vector that annual filings disclose: company, risk, evidence, section, filing."""
     risks = table(spark, base, "risk_factors").where(
         F.col("embedding").isNotNull() & (F.size("embedding") == 128) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & F.exists("embedding", lambda x: x != 0) & F.col("cik").isNotNull()
     )
@@ -27,7 +25,7 @@ def annual_risks(spark: SparkSession, base: str) -> DataFrame:
     rows = risks.select("cik", "company", "risk_id", "summary", "category", "chunk_id", "embedding").join(chunks, "chunk_id").join(filings, "accession_no").where("filing_date IS NOT NULL")
     # A risk repeated in the register counts once, with all values of one of its rows.
     one = rows.groupBy("risk_id").agg(F.min(F.struct("cik", "company", "summary", "category", "chunk_id", "accession_no", "filing_date", "embedding")).alias("r"))
-    return one.select("risk_id", "r.*").withColumn("embedding", unit(F.col("embedding")))
+    return one.select("risk_id", "r.*")
 
 
 _ANNUAL = f"""f AS (SELECT accession_no, min({any_date_sql('filing_date')}) AS filing_date FROM filings WHERE {tidy_form_sql('form')} IN ('10-K', '20-F') GROUP BY 1),
