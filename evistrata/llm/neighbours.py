@@ -8,6 +8,10 @@ opened first. How many leaves are visited is calibrated: for queries on which th
 true neighbours are found by brute force over the whole collection, and the visits are widened until enough
 of them are met, up to all leaves, which is brute force leaf by leaf. Vectors are compared leaf by leaf in
 matrix products; exact copies are one vector to the tree and are expanded after.
+
+A vector is sent to each leaf it visits. The leaves are therefore served in rounds, each of which sends a
+bounded number of vectors and frees its shuffle before the next: however many leaves are visited, disk
+holds the vectors once, the best pairs so far, and one round.
 """
 
 from __future__ import annotations
@@ -21,14 +25,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from evistrata.session import materialize
+from evistrata.session import materialize, release
 
 #: Bounds of what the driver ever holds: vectors to fit the upper tree on, queries to calibrate with, and leaves.
 SAMPLE, CALIBRATION, LEAVES = 65_536, 4_096, 65_536
-#: Vectors a leaf is meant to hold, children of an inner node, and sampled vectors a leaf is fitted on at least.
-LEAF, BRANCH, FITTED = 6_000, 8, 16
+#: Vectors a leaf is meant to hold, children of an inner node at least, and sampled vectors a leaf is fitted on at least.
+LEAF, BRANCH, FITTED = 6_000, 8, 32
 #: Vectors of a leaf, and questions to a leaf, per task: a leaf that is larger is sent the questions several times.
 BLOCK, ASKED = 49_152, 131_072
+#: Vectors that a round sends, as a multiple of the collection.
+COPIES = 2.0
 #: Share of true neighbours that the visited leaves must hold, and the widest search that is calibrated first.
 RECALL, WIDEST = 0.997, 64
 #: Leaves that a traversal opens before it settles on the best of them.
@@ -93,9 +99,14 @@ def _centres(points: np.ndarray, k: int, rng: np.random.Generator, rounds: int =
     return centres, (points @ centres.T).argmax(1)
 
 
-def grow(sample: np.ndarray, rows: int, *, leaf: int = LEAF, branch: int = BRANCH, seed: int = 7) -> Tree:
-    """Split the sample by k-means until each leaf stands for about ``leaf`` of ``rows`` vectors."""
+def grow(sample: np.ndarray, rows: int, *, leaf: int = LEAF, branch: int | None = None, seed: int = 7) -> Tree:
+    """Split the sample by k-means until each leaf stands for about ``leaf`` of ``rows`` vectors.
+
+    Nodes have as many children as make two levels: each further level parts near vectors once more, so that a
+    narrow tree of many levels needs several times the visits.
+    """
     rng = np.random.default_rng(seed)
+    branch = branch or max(BRANCH, int(np.ceil(min(rows / leaf, len(sample) / FITTED) ** 0.5)))
     share = rows / max(1, len(sample))
     centres, children = [np.zeros(sample.shape[1], np.float32)], [[]]
     todo = [(0, np.arange(len(sample)))]
@@ -202,6 +213,7 @@ class Neighbours:
     visited: int
     recall: float
     leaves: int
+    rounds: int
 
 
 def nearest(
@@ -214,9 +226,9 @@ def nearest(
     """
     unit = unit_vectors(vectors, dims).withColumn("id", F.xxhash64("v"))
     # Copies of a vector collapse in each task before the shuffle, however many there are.
-    members = materialize(unit.groupBy("key").agg(F.max(F.struct("at", "id")).alias("x")).select("key", F.col("x.id").alias("id")))
+    members = materialize(unit.groupBy("key").agg(F.max(F.struct("at", "id")).alias("x")).select("key", F.col("x.id").alias("id")), free=True)
     distinct = unit.groupBy("id").agg(F.first("v").alias("v"))
-    distinct = materialize(distinct.join(members.select("id").distinct(), "id", "left_semi"))
+    distinct = materialize(distinct.join(members.select("id").distinct(), "id", "left_semi"), free=True)
     spark = vectors.sparkSession
     rows = distinct.count()
     # Samples are drawn by hash, by every task from its own rows; their sizes are bounded whatever rows is.
@@ -238,38 +250,61 @@ def nearest(
     dealt = lambda leaves, most: np.maximum(1, np.ceil(np.bincount(leaves[leaves >= 0], minlength=tree.leaves) * times / most)).astype(int)
     shares = spark.sparkContext.broadcast((dealt(seen[:, 0], BLOCK), dealt(seen.ravel(), ASKED)))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, (blocks, parts) = shipped.value, shares.value
-        schema = pa.schema([("leaf", pa.int32()), ("block", pa.int32()), ("part", pa.int32()), ("role", pa.int8()), ("id", pa.int64()), ("v", pa.binary())])
-
-        def rows_of(row, leaf, block, part, role, mine, whole) -> pa.RecordBatch:
-            columns = [pa.array(x.astype(np.int32)) for x in (leaf, block, part)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(role.astype(np.int8)), pa.array(mine[row]), whole.take(pa.array(row))], schema=schema)
-
-        def repeated(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.repeat(np.arange(len(counts)), counts)
-            return at, np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+    # Blocks are numbered leaf by leaf; a round serves a range of them.
+    blocks, parts = shares.value
+    asking, stored = (np.bincount(x[x >= 0], minlength=tree.leaves) * times for x in (seen.ravel(), seen[:, 0]))
+    sent = np.cumsum(np.repeat(asking + stored * (parts - 1) / blocks, blocks))
+    rounds = max(1, int(np.ceil(sent[-1] / (COPIES * max(1, rows)))))
+    ends = [0, *np.searchsorted(sent, sent[-1] * np.arange(1, rounds) / rounds).tolist(), int(blocks.sum())]
+    of_block = np.repeat(np.arange(tree.leaves), blocks)
 
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            v = _matrix(batch.column(1), dims)
-            for start in range(0, len(ids), 2_048):
-                part, mine = v[start : start + 2_048], ids[start : start + 2_048]
-                leaves = tree.visits(part, visited)
-                whole = pa.array([r.tobytes() for r in np.ascontiguousarray(part, "<f4")], pa.binary())
-                spread = mine.view(np.uint64) >> np.uint64(7)
-                # A vector is stored in one block of its leaf, for each part of the questions ...
-                home = leaves[:, 0]
-                own_block, own_part = spread % blocks[home].astype(np.uint64), spread % parts[home].astype(np.uint64)
-                at, to_part = repeated(parts[home])
-                yield rows_of(at, home[at], own_block[at], to_part, np.where(to_part == own_part[at], BOTH, HELD), mine, whole)
-                # ... and is in one part of the questions to a leaf, for each block; where it is stored it asks as it is.
-                row, col = np.nonzero(leaves >= 0)
-                to = leaves[row, col]
-                at, to_block = repeated(blocks[to])
-                other = (col[at] > 0) | (to_block != own_block[row[at]])
-                at, to_block = at[other], to_block[other]
-                yield rows_of(row[at], to[at], to_block, (spread[row] % parts[to].astype(np.uint64))[at], np.full(len(at), ASKS), mine, whole)
+            for start in range(0, batch.num_rows, 2_048):
+                some = batch.slice(start, 2_048)
+                leaves = shipped.value.visits(_matrix(some.column(1), dims), visited)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(leaves) + 1, dtype=np.int32) * leaves.shape[1]), pa.array(leaves.ravel(), pa.int32()))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), lists], ["id", "v", "leaves"])
+
+    def placed(low: int, high: int) -> DataFrame:
+        """The vectors stored and asking in the blocks from ``low`` to before ``high``."""
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            blocks, parts = shares.value
+            first = np.cumsum(blocks) - blocks
+            schema = pa.schema([("leaf", pa.int32()), ("block", pa.int32()), ("part", pa.int32()), ("role", pa.int8()), ("id", pa.int64()), ("v", pa.binary())])
+
+            def rows_of(row, leaf, block, part, role, some) -> pa.RecordBatch:
+                now = (first[leaf] + block.astype(np.int64) >= low) & (first[leaf] + block.astype(np.int64) < high)
+                columns = [pa.array(x[now].astype(np.int32)) for x in (leaf, block, part)]
+                taken = pa.array(row[now])
+                return pa.RecordBatch.from_arrays([*columns, pa.array(role[now].astype(np.int8)), some.column(0).take(taken), some.column(1).take(taken)], schema=schema)
+
+            def repeated(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                at = np.repeat(np.arange(len(counts)), counts)
+                return at, np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+            for batch in batches:
+                for start in range(0, batch.num_rows, 2_048):
+                    some = batch.slice(start, 2_048)
+                    leaves = some.column(2).flatten().to_numpy().reshape(some.num_rows, -1)
+                    spread = some.column(0).to_numpy().view(np.uint64) >> np.uint64(7)
+                    # A vector is stored in one block of its leaf, for each part of the questions ...
+                    home = leaves[:, 0]
+                    own_block, own_part = spread % blocks[home].astype(np.uint64), spread % parts[home].astype(np.uint64)
+                    at, to_part = repeated(parts[home])
+                    yield rows_of(at, home[at], own_block[at], to_part, np.where(to_part == own_part[at], BOTH, HELD), some)
+                    # ... and is in one part of the questions to a leaf, for each block; where it is stored it asks as it is.
+                    row, col = np.nonzero(leaves >= 0)
+                    to = leaves[row, col]
+                    at, to_block = repeated(blocks[to])
+                    other = (col[at] > 0) | (to_block != own_block[row[at]])
+                    at, to_block = at[other], to_block[other]
+                    yield rows_of(row[at], to[at], to_block, (spread[row] % parts[to].astype(np.uint64))[at], np.full(len(at), ASKS), some)
+
+        first_leaf, last_leaf = int(of_block[low]), int(of_block[high - 1])
+        there = kept if rounds == 1 else kept.where(F.exists("leaves", lambda x: x.between(first_leaf, last_leaf)))
+        return there.mapInArrow(place, "leaf int, block int, part int, role byte, id long, v binary")
 
     def compare(group: pa.Table) -> pa.Table:
         role = group["role"].combine_chunks()
@@ -288,14 +323,23 @@ def nearest(
         a, b, s = (np.concatenate(x) for x in zip(back, *out))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
 
-    placed = distinct.mapInArrow(place, "leaf int, block int, part int, role byte, id long, v binary")
-    met = placed.groupBy("leaf", "block", "part").applyInArrow(compare, "a long, b long, similarity double")
-    # A pair is lost for an end only if neither asked where the other is. A vector has few rows, so those of
-    # each are brought together once, and both its repeated pairs and its best are found there.
-    met = met.repartition("a").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    kept = materialize(distinct.mapInArrow(descend, "id long, v binary, leaves array<int>"), free=True)
+    release(distinct)
     order = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    edges = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return Neighbours(edges, members, visited, reached, tree.leaves)
+    edges = None
+    for low, high in zip(ends, ends[1:]):
+        if low == high:
+            continue
+        met = placed(low, high).groupBy("leaf", "block", "part").applyInArrow(compare, "a long, b long, similarity double")
+        # A pair is lost for an end only if neither asked where the other is. A vector has few rows, so those of
+        # each are brought together once a round, and both its repeated pairs and its best are found there.
+        met = (met.unionByName(edges) if edges else met).repartition("a").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+        best = materialize(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), free=True)
+        if edges:
+            release(edges)
+        edges = best
+    release(kept)
+    return Neighbours(edges, members, visited, reached, tree.leaves, rounds)
 
 
 def _none() -> tuple[np.ndarray, np.ndarray, np.ndarray]:

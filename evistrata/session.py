@@ -42,14 +42,25 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a parquet table in the shared folder and read it back.
+#: With this setting Spark deletes the shuffle files of a query as soon as it is over, not when the driver collects its garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, *, free: bool = False) -> DataFrame:
+    """Write ``df`` as a parquet table in the shared folder and read it back; ``free`` deletes its shuffle files then.
 
     It cuts lineage like ``checkpoint()`` does, survives the loss of executors, and is columnar and
     compressed, so wide text and vector columns cost less disk than a checkpointed RDD.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = df.sparkSession.conf.get(FREED, None)
+    if free:
+        df.sparkSession.conf.set(FREED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free:
+            df.sparkSession.conf.unset(FREED) if before is None else df.sparkSession.conf.set(FREED, before)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored.stored_at = path
     return stored

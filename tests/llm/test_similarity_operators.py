@@ -1,5 +1,7 @@
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -288,3 +290,42 @@ def test_similarities_are_not_rounded_to_half_precision(spark):
     rows = [(key, "", [c, (1 - c * c) ** 0.5 * sign, *[0.0] * 126]) for key, c, sign in (("a", 1.0, 1), ("b", 0.75002, 1), ("c", 0.74998, -1))]
     near = neighbours.nearest(spark.createDataFrame(rows, "key string, at string, vector array<float>"), least=0.75)
     assert {(r.key_a, r.key_b) for r in neighbours.close_pairs(near).collect()} == {("a", "b")}
+
+
+def test_rounds_find_the_same_and_free_their_shuffle(spark, monkeypatch):
+    """Leaves are served in rounds: as many pairs as in one, and no vectors are left in shuffle files."""
+    v = vectors(12, 2_000, centres=100)
+    keys, df = near_frame(spark, v)
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def shuffled():
+        return sum(f.stat().st_size for d in folders for f in Path(d).rglob("shuffle_*.data"))
+
+    def found(near):
+        return {(r.a, r.b, r.similarity) for r in near.edges.collect()}
+
+    monkeypatch.setattr(neighbours, "COPIES", 100.0)
+    one = neighbours.nearest(df, leaf=60, least=0.75)
+    monkeypatch.setattr(neighbours, "COPIES", 0.2)
+    before = shuffled()
+    many = neighbours.nearest(df, leaf=60, least=0.75)
+    assert one.rounds == 1 and many.rounds > 3
+    got, want = found(many), found(one)
+    assert {(a, b) for a, b, _ in got} == {(a, b) for a, b, _ in want}
+    for _ in range(50):
+        if shuffled() - before < 128 * 4 * len(v) / 2:
+            break
+        time.sleep(0.1)
+    assert shuffled() - before < 128 * 4 * len(v) / 2
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_trees_of_many_leaves_are_not_deep():
+    """Over a large collection a node has more children, else a pair is parted at each of many levels."""
+    v = np.random.default_rng(4).normal(size=(20_000, 128)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    tree = neighbours.grow(v, 2_400_000)
+    depth, level = 0, [0]
+    while level := [c for n in level for c in tree.children[n]]:
+        depth += 1
+    assert tree.leaves >= 300 and depth <= 3
