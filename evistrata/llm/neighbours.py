@@ -38,7 +38,7 @@ COPIES = 2.0
 #: Share of true neighbours that the visited leaves must hold, and the widest search that is calibrated first.
 RECALL, WIDEST = 0.997, 64
 #: Leaves that a traversal opens before it settles on the best of them.
-LOOKED, WIDER = 16, 2
+LOOKED, WIDER = 16, 3
 #: What a vector does in a leaf: it is stored there, asks there, or both.
 HELD, ASKS, BOTH = 0, 1, 2
 #: Similarities so near to the limit are computed again in double precision.
